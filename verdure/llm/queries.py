@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from verdure.llm.packing import op10_packing
+from verdure.llm.quality_rules import OP7_SQL, op7_quality_rules
+from verdure.llm.simhash import op1_simhash
 from verdure.llm.token_output import op2_token_output
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
+    "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
