@@ -137,7 +137,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def result(ids: np.ndarray, n: np.ndarray, removed: np.ndarray, at: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], kept: list[bytes], text: bool) -> pa.RecordBatch:
+def result(ids: np.ndarray, n: np.ndarray, removed: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], kept: list[bytes], text: bool) -> pa.RecordBatch:
     """(id, n, n_removed, spans, kept) of documents; spans: (document, start, end) in order."""
     doc, lo, hi = spans
     offsets = np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)

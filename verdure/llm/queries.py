@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdure.llm.byte_dedup import op3_suffix_array
 from verdure.llm.packing import op10_packing
 from verdure.llm.quality_rules import OP7_SQL, op7_quality_rules
 from verdure.llm.simhash import op1_simhash
@@ -11,6 +12,7 @@ from verdure.llm.window_dedup import op9_substring_dedup
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
+    "op3_suffix_array": op3_suffix_array,
     "op7_quality_rules": op7_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,

@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         for k, ws in enumerate(words):
             left = ws if not removed[k] else [w for w, g in zip(ws, gone[starts[k] : starts[k] + counts[k]].tolist(), strict=True) if not g]
             kept.append(b" ".join(left))
-        yield blocks.result(ids, counts, removed, starts, _spans(gone, starts, counts), kept, text=True)
+        yield blocks.result(ids, counts, removed, _spans(gone, starts, counts), kept, text=True)
 
     dealt = blocks.deal(docs, id_col, text_col)
     told = blocks.replies(blocks.each_block(dealt, send, blocks.CELL), first_free=True)
