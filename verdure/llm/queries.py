@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from verdure.llm.byte_dedup import op3_suffix_array
 from verdure.llm.packing import op10_packing
+from verdure.llm.quality_model import op6_quality_classifier
 from verdure.llm.quality_rules import OP7_SQL, op7_quality_rules
 from verdure.llm.simhash import op1_simhash
 from verdure.llm.token_output import op2_token_output
+from verdure.llm.warc import OP4_SQL, op4_warc
 from verdure.llm.window_dedup import op9_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
     "op3_suffix_array": op3_suffix_array,
+    "op4_warc": op4_warc,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_quality_rules": OP7_SQL}
