@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from verdure.llm.byte_dedup import op3_suffix_array
+from verdure.llm.decontaminate import op8_decontamination
 from verdure.llm.packing import op10_packing
 from verdure.llm.quality_model import op6_quality_classifier
 from verdure.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
