@@ -141,8 +141,8 @@ class _Block:
             lo += len(at)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA: number of bytes, of bytes removed, the spans removed and the bytes kept, of every document."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """SCHEMA: number of bytes, of bytes removed, the spans removed and the bytes kept, of every document. as_text: kept is a string, without characters of which only a part is left."""
     if length < 2 * PERIOD:
         raise ValueError(f"strings of {2 * PERIOD} bytes at least")
 
@@ -183,7 +183,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             spans += zip(docs[(r := blocks.runs(gone, p.start))[0]].tolist(), r[1].tolist(), r[2].tolist(), strict=True)
         spans.sort()
         cols = np.array(spans, np.int64).reshape(-1, 3)
-        yield blocks.result(b.ids, n, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=False)
+        if as_text:
+            kept = [k.decode(errors="ignore").encode() if removed[i] else k for i, k in enumerate(kept)]
+        yield blocks.result(b.ids, n, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
 
     def told(sent: DataFrame, kind: int, first_free: bool) -> DataFrame:
         return blocks.replies(sent, first_free).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
@@ -193,7 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, False)
     known = known.unionByName(ranks)
     known = known.unionByName(told(blocks.each_block_with(dealt, known, send_windows, blocks.CELL), 2, True))
-    return blocks.each_block_with(dealt, known, finish, SCHEMA)
+    return blocks.each_block_with(dealt, known, finish, SCHEMA.replace("kept binary", "kept string") if as_text else SCHEMA)
 
 
 def op3_suffix_array(spark, sf_dir):

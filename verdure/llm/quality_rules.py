@@ -132,6 +132,19 @@ def judge(docs: DataFrame, order: list[str] | None = None, figures: bool = False
     return common.keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def passing(docs: DataFrame, order: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that no rule rejects; each rule runs only on what the rules before it let through."""
+    order = rule_order(docs, text_col=text_col) if order is None else order
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((t.as_py() or "").encode() for t in batch.column(at))
+            yield batch.filter(pa.array([not any(RULES[k](f) for k in order) for f in map(Figures, texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir):
     found = judge(common.table(spark, sf_dir, "documents"), figures=True)
     return found.select(common.real_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", found.rejected_by.isNull().alias("kept"))
