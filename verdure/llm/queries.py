@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdure.llm.attention_lm import op5_lm_scoring
 from verdure.llm.byte_dedup import op3_suffix_array
 from verdure.llm.decontaminate import op8_decontamination
 from verdure.llm.packing import op10_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_suffix_array": op3_suffix_array,
     "op4_warc": op4_warc,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
