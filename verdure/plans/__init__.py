@@ -1,4 +1,4 @@
 """All registered queries of the library proper."""
 
-from verdure.plans import matrix_queries  # noqa: F401
+from verdure.plans import matrix_queries, stat_queries, table_queries  # noqa: F401
 from verdure.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

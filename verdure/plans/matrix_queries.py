@@ -129,11 +129,11 @@ def _(spark, sf):
 
 
 @query("matrix_full_outer_fusion", f"""WITH {LONG}, a AS (SELECT gene_id, avg(value) AS v FROM m WHERE study_id = 'A' GROUP BY 1), n AS (SELECT gene_id, avg(value) AS v FROM m WHERE study_id = 'N' AND gene_id % 2 = 0 GROUP BY 1), q AS (SELECT gene_id, avg(value) AS v FROM m WHERE study_id = 'R' AND gene_id % 3 = 0 GROUP BY 1)
-SELECT gene_id, round(a.v, 3) AS A, round(n.v, 3) AS N, round(q.v, 3) AS R FROM a FULL JOIN n USING (gene_id) FULL JOIN q USING (gene_id)""")
+SELECT gene_id, round(a.v, 8) AS A, round(n.v, 8) AS N, round(q.v, 8) AS R FROM a FULL JOIN n USING (gene_id) FULL JOIN q USING (gene_id)""")
 def _(spark, sf):
     m = long(spark, sf)
     wide = matrix.fuse_wide({"A": m.where("study_id = 'A'"), "N": m.where("study_id = 'N' AND gene_id % 2 = 0"), "R": m.where("study_id = 'R' AND gene_id % 3 = 0")})
-    return wide.select("gene_id", *(r(c, 3).alias(c) for c in "ANR"))
+    return wide.select("gene_id", *(r(c, 8).alias(c) for c in "ANR"))
 
 
 @query("matrix_long_fusion", f"WITH {LONG} SELECT study_id, gene_id, sample_id, round(avg(value), 4) AS value FROM m GROUP BY 1, 2, 3")
