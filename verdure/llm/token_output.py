@@ -84,7 +84,7 @@ class EliasFano:
             at = np.searchsorted(before, np.arange(0, self.n, self.EVERY), side="right") - 1
             self._marks = at, before[at]
         byte, seen = (int(x[i // self.EVERY]) for x in self._marks)
-        while seen + counts[byte] <= i:
+        while seen + int(counts[byte]) <= i:
             seen += int(counts[byte])
             byte += 1
         one = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[i - seen])
