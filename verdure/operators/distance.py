@@ -129,3 +129,48 @@ def quantile_distance(q: DataFrame, by: str = "sample_id") -> DataFrame:
     """(by, distance): mean gap between a sample's percentiles and the median sample's."""
     ref = q.groupBy("q").agg(F.percentile("value", 0.5).alias("ref"))
     return q.join(F.broadcast(ref), "q").groupBy(by).agg(F.avg(F.abs(F.col("value") - F.col("ref"))).alias("distance"))
+
+
+def within(p: DataFrame, labels: DataFrame, bio: str, batch: str, key: str = "sample_id", least: int = 3) -> DataFrame:
+    """(bio, asw): mean silhouette of batches within each bio class of at least `least` samples and two batches."""
+    a, b = (labels.select(F.col(key).alias(k), F.col(bio).alias(f"_{k}")) for k in "ab")
+    same = p.join(F.broadcast(a), "a").join(F.broadcast(b), "b").where("_a = _b")
+    good = labels.groupBy(bio).agg(F.count("*").alias("n"), F.countDistinct(batch).alias("k")).where((F.col("n") >= least) & (F.col("k") >= 2))
+    s = silhouette(same.select("a", "b", "distance"), labels, key, batch)
+    return s.join(labels.select(key, bio), key).join(good.select(bio), bio, "left_semi").groupBy(bio).agg(F.avg("s").alias("asw"))
+
+
+def weight_sweep(axes: DataFrame, weights: list[tuple[float, ...]], names: list[str], distance: str = "distance") -> DataFrame:
+    """(weights..., correlation) of each weighting of axis similarities with the distance; all weightings in one pass over the pairs."""
+    cols = []
+    for k, w in enumerate(weights):
+        s = sum((F.col(n) * float(x) for n, x in zip(names, w, strict=True)), F.lit(0.0)) / (sum(w) or 1.0)
+        cols.append(F.corr(distance, s).alias(f"c{k}"))
+    one = axes.agg(*cols)
+    rows = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(names, w, strict=True)], F.col(f"c{k}").alias("correlation")) for k, w in enumerate(weights)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def density(m: DataFrame, low: float, high: float, bins: int = 99, by: str = "sample_id") -> DataFrame:
+    """(by, bin, density): histogram over [low, high], the last bin closed; values outside are left out."""
+    width = (high - low) / bins
+    at = F.least(F.floor((F.col("value") - low) / width), F.lit(bins - 1)).cast("int")
+    n = m.where((F.col("value") >= low) & (F.col("value") <= high)).groupBy(by, at.alias("bin")).agg(F.count("*").alias("n"))
+    return n.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(by)) * width)).drop("n")
+
+
+def sample_spearman(m: DataFrame) -> DataFrame:
+    """(a, b, rho) of all pairs of samples over the genes, by average ranks."""
+    r = percent_rank_average(m, "value", ("sample_id",), "r")
+    v = r.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_id", "r"))), lambda s: s["r"]).alias("values"))
+    mean = F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.size("values")
+    v = v.withColumn("values", F.transform("values", lambda x: x - mean)).withColumn("norm", F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)))
+    dot = F.aggregate(F.zip_with("a.values", "b.values", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return pairs(v).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"), F.try_divide(dot, F.col("a.norm") * F.col("b.norm")).alias("rho"))
+
+
+def masked(m: DataFrame, share: float = 0.15, mask: float = -10.0, seed: int = 42, held: float = 0.1) -> DataFrame:
+    """m with input (the mask for about `share` of the non-zero values), is_masked and part (train or valid by sample), the same each time."""
+    u = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    hide = (F.col("value") != 0) & (u("gene_id", "sample_id") < share)
+    return m.withColumn("is_masked", hide).withColumn("input", F.when(hide, mask).otherwise(F.col("value"))).withColumn("part", F.when(u("sample_id") < held, "valid").otherwise("train"))
