@@ -21,6 +21,7 @@ rows. Matches never cross documents and are judged on the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from verdure.llm import blocks, common
 LENGTH = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 SAMPLED, WIDTH = 4, 7
+#: Bytes of text for which the arrays of a byte each are held at once.
+PART_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 SCHEMA = "id long, n long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 _LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -45,7 +48,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(1 << 21, 1 << (n - 1).bit_length())
+            size = max(1 << 20, 1 << (n - 1).bit_length())
             cls.up, cls.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(b)))]) for b in (BASE, pow(BASE, -1, 2**64)))
         return cls.up, cls.down
 
@@ -54,18 +57,30 @@ class Part:
     """Some documents' bytes, one after the other, with a prefix hash."""
 
     def __init__(self, texts: list[bytes]):
+        self.texts = texts
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.cumsum(self.size) - self.size
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        self.n = len(flat)
-        up, self.down = _Powers.of(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_LETTERS[flat] * up[: self.n], out=self.sums[1:])
-        self.doc = np.repeat(np.arange(len(texts)), self.size)
-        self.room = np.repeat(self.start + self.size, self.size) - np.arange(self.n)
+        self.n = int(self.size.sum())
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+
+    @cached_property
+    def room(self) -> np.ndarray:
+        """Bytes from each place to the end of its document."""
+        return np.repeat((self.start + self.size).astype(np.int32), self.size) - np.arange(self.n, dtype=np.int32)
+
+    @cached_property
+    def _hash(self) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _Powers.of(self.n + 1)
+        sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(_LETTERS[np.frombuffer(b"".join(self.texts), np.uint8)] * up[: self.n], out=sums[1:])
+        return sums, down
 
     def names(self, at: np.ndarray, length: int, width: int) -> np.ndarray:
-        return blocks.mixed((self.sums[at + length] - self.sums[at]) * self.down[at]) >> np.uint64(56 - 8 * width)
+        sums, down = self._hash
+        return blocks.mixed((sums[at + length] - sums[at]) * down[at]) >> np.uint64(56 - 8 * width)
 
     def sampled(self, length: int) -> np.ndarray:
         place = np.arange(self.n) - self.start[self.doc]
@@ -113,30 +128,37 @@ class _Block:
         names, back, first, _ = self.whole()
         return self._marked(0, names, WIDTH)[back] | (self.ids > self.ids[first][back])
 
-    def parts(self) -> Iterator[tuple[np.ndarray, Part]]:
-        """(their numbers, Part) of documents that aren't copies and are long enough."""
+    @cached_property
+    def groups(self) -> list[np.ndarray]:
+        """Numbers of the documents that aren't copies and are long enough, about PART_BYTES of text at a time."""
         lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         some = np.flatnonzero(~self.copies() & (lens >= self.length))
-        group = np.cumsum(lens[some]) >> 20
-        for g in np.unique(group):
-            docs = some[group == g]
-            yield docs, Part([self.texts[k] for k in docs.tolist()])
-
-    def samples(self) -> np.ndarray:
-        k = self.length - PERIOD + 1
-        return np.concatenate([np.empty(0, np.uint64), *(p.names(p.sampled(k), k, SAMPLED) for _, p in self.parts())])
+        group = np.cumsum(lens[some]) // PART_BYTES
+        return [some[group == g] for g in np.unique(group)]
+
+    def part(self, docs: np.ndarray) -> Part:
+        return Part([self.texts[k] for k in docs.tolist()])
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """(names of all sampled strings, their documents' ids)."""
+        k, names, owner = self.length - PERIOD + 1, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for docs in self.groups:
+            p = self.part(docs)
+            at = p.sampled(k)
+            names.append(p.names(at, k, SAMPLED))
+            owner.append(self.ids[docs][p.doc[at]])
+        return np.concatenate(names), np.concatenate(owner)
 
     def candidates(self) -> Iterator[tuple[np.ndarray, Part, np.ndarray]]:
-        """(documents, Part, places) of suffixes that reach a shared rank."""
-        k = self.length - PERIOD + 1
-        held = [(docs, p, p.sampled(k)) for docs, p in self.parts()]
-        if not held:
-            return
-        names, back, first, last = _grouped(np.concatenate([p.names(at, k, SAMPLED) for _, p, at in held]))
-        owner = self.ids[np.concatenate([docs[p.doc[at]] for docs, p, at in held])]
+        """(documents, Part, places) of suffixes that reach a shared rank; one Part is held at a time."""
+        k, lo = self.length - PERIOD + 1, 0
+        names, owner = self.samples()
+        names, back, first, last = _grouped(names)
         shared = (self._marked(1, names, SAMPLED) | (owner[first] != owner[last]))[back]
-        lo = 0
-        for docs, p, at in held:
+        del names, owner, back, first, last
+        for docs in self.groups:
+            p = self.part(docs)
+            at = p.sampled(k)
             yield docs, p, p.reaching(at[shared[lo : lo + len(at)]], self.length)
             lo += len(at)
 
@@ -150,7 +172,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         yield blocks.cells(block, _Block(table, None, length).whole()[0], WIDTH)
 
     def send_samples(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield blocks.cells(block, np.unique(_Block(table, told, length).samples()), SAMPLED)
+        yield blocks.cells(block, np.unique(_Block(table, told, length).samples()[0]), SAMPLED)
 
     def send_windows(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
         names = [p.names(at, length, WIDTH) for _, p, at in _Block(table, told, length).candidates()]
@@ -158,17 +180,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def finish(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
         b = _Block(table, told, length)
-        held = list(b.candidates())
-        names, back, first, _ = _grouped(np.concatenate([np.empty(0, np.uint64), *(p.names(at, length, WIDTH) for _, p, at in held)]))
-        owner = np.concatenate([np.empty(0, np.int64), *(b.ids[docs[p.doc[at]]] for docs, p, at in held)])
+        held, names, owner = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for docs, p, at in b.candidates():
+            held.append((docs, at.astype(np.int32)))
+            names.append(p.names(at, length, WIDTH))
+            owner.append(b.ids[docs][p.doc[at]])
+        names, back, first, _ = _grouped(np.concatenate(names))
+        owner = np.concatenate(owner)
         hit = b._marked(2, names, WIDTH)[back] | (owner > owner[first][back])
+        del names, back, first, owner
         n = np.fromiter(map(len, b.texts), np.int64, len(b.texts))
         removed, kept = np.where(b.copies() & (n >= length), n, 0), list(b.texts)
         spans = [(k, 0, removed[k]) for k in np.flatnonzero(removed).tolist()]
         for k, _, _ in spans:
             kept[k] = b""
         lo = 0
-        for docs, p, at in held:
+        for docs, at in held:
+            p = b.part(docs)
             cover = np.zeros(p.n + 1, np.int64)
             found = at[hit[lo : lo + len(at)]]
             lo += len(at)
@@ -190,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def told(sent: DataFrame, kind: int, first_free: bool) -> DataFrame:
         return blocks.replies(sent, first_free).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
 
-    dealt = blocks.deal(docs, id_col, text_col)
+    dealt = blocks.deal(docs, id_col, text_col, 2 * common.default_parts(docs.sparkSession))
     known = told(blocks.each_block(dealt, send_whole, blocks.CELL), 0, True)
     ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, False)
     known = known.unionByName(ranks)
