@@ -97,6 +97,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             at = to
 
 
+def hash_share(col, share: float):
+    """True for about this share of the values, the same ones every time: bounds what a bounded sample is drawn from."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(col), 34) < int(share * (1 << 30))
+
+
 def id_bounds(docs: DataFrame, n: int, id_col: str = "doc_id") -> np.ndarray:
     """At most n-1 ascending ids that part the table into n ranges of nearly as many rows. One narrow pass; 8 n bytes reach the driver."""
     if n < 2:
