@@ -149,7 +149,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     found = measure(docs, id_col, text_col)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == 0, F.lit(True)) | (F.col("id") == common.NULL_ID)
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    rows = found.where(~held).join(marks, "id").orderBy(F.xxhash64("id"), "id", "label").limit(sample).select("label", *FIGURES).toPandas().to_numpy(np.float64)
+    share = 2 * sample / max(1, marks.count())
+    rows = found.where(~held & common.hash_share(F.col("id"), share)).join(marks.where(common.hash_share(F.col("id"), share)), "id").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id", "label").limit(sample).select("label", *FIGURES).toPandas().to_numpy(np.float64)
     model = fit(rows[:, 1:], rows[:, 0])
     return found.select("id", held.alias("held_out"), compiled(model).alias("score"))
 
