@@ -11,7 +11,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words kept by a worker; then it starts afresh.
-MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 23
+MEMO_WORDS, MEMO_IDS = 1 << 18, 1 << 21
 _CUT_IN_SPACE = re.compile(r"\s \s|  ")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
