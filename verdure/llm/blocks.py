@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 
 from verdure.llm import common
 
-BUCKETS = 256
+#: Documents in a block at most, on average.
+BLOCK_ROWS = 5_000
 CELL = "block int, bucket int, n int, width int, names binary"
 REPLY = "block int, bucket int, hits binary"
 
 
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(block, id, text): text packed; block b holds only ids below those of block b + 1. Partitioned by block."""
-    n = blocks or common.default_parts(docs.sparkSession)
+    n = blocks or count(docs)
     bounds = common.id_bounds(docs, n, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,6 +38,20 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks
     return common.keyed(docs, id_col, text_col).mapInArrow(run, "block int, id long, text binary").repartition(n, "block")
 
 
+def count(docs: DataFrame, a_block: int = BLOCK_ROWS) -> int:
+    """How many blocks: as many as there are shuffle partitions, more if those would be large."""
+    return max(common.default_parts(docs.sparkSession), -(-docs.count() // a_block))
+
+
+def bucket_bits(n_blocks: int) -> int:
+    """log2 of the number of buckets of names: 64 at least, and one for 4 blocks or fewer, so that a bucket holds no more than a few blocks' names."""
+    return min(24, max(6, (n_blocks - 1).bit_length() - 2))
+
+
+def _edges(names: np.ndarray, width: int, bits: int) -> np.ndarray:
+    return np.searchsorted(names >> np.uint64(8 + 8 * width - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
 def opened(block: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """A block's ids, ascending, and packed texts."""
     ids = block.column("id").to_numpy()
@@ -50,14 +65,14 @@ def unpack(texts: list[bytes]) -> list[bytes]:
     return [press.decompress(t) for t in texts]
 
 
-def cells(block: int, names: np.ndarray, width: int) -> pa.RecordBatch:
-    """names: ascending, distinct, of 1 + width bytes (the first byte is the bucket)."""
+def cells(block: int, names: np.ndarray, width: int, bits: int = 6) -> pa.RecordBatch:
+    """names: ascending, distinct, of 1 + width bytes, of which the first bits are the bucket; sent byte plane by byte plane, so that the leading ones pack to little."""
     press = zstandard.ZstdCompressor(level=1)
-    edges = np.searchsorted(names >> np.uint64(8 * width), np.arange(BUCKETS + 1, dtype=np.uint64))
+    edges = _edges(names, width, bits)
     rows = []
     for k in np.flatnonzero(np.diff(edges)).tolist():
         part = names[edges[k] : edges[k + 1]]
-        planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :width].T)
+        planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, : width + 1].T)
         rows.append((block, k, len(part), width, press.compress(planes.tobytes())))
     cols = list(zip(*rows, strict=True)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "n", "width", "names"])
@@ -75,7 +90,7 @@ def replies(sent: DataFrame, first_free: bool) -> DataFrame:
             names = []
             for _, _, n, width, packed in held:
                 wide = np.zeros((n, 8), np.uint8)
-                wide[:, :width] = np.frombuffer(press.decompress(packed), np.uint8).reshape(width, n).T
+                wide[:, : width + 1] = np.frombuffer(press.decompress(packed), np.uint8).reshape(width + 1, n).T
                 names.append(wide.view("<u8").ravel())
             ends = np.cumsum([len(x) for x in names])
             flat = np.concatenate(names)
@@ -105,13 +120,13 @@ def replies(sent: DataFrame, first_free: bool) -> DataFrame:
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
 
 
-def marked(names: np.ndarray, width: int, bucket: list[int], hits: list[bytes]) -> np.ndarray:
+def marked(names: np.ndarray, width: int, bucket: list[int], hits: list[bytes], bits: int = 6) -> np.ndarray:
     """For each of a block's names (as given to cells) whether its bit came back set."""
-    edges = np.searchsorted(names >> np.uint64(8 * width), np.arange(BUCKETS + 1, dtype=np.uint64))
+    edges = _edges(names, width, bits)
     out = np.zeros(len(names), bool)
-    for k, bits in zip(bucket, hits, strict=True):
+    for k, packed in zip(bucket, hits, strict=True):
         a, b = int(edges[k]), int(edges[k + 1])
-        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        out[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
     return out
 
 

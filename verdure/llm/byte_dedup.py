@@ -33,7 +33,7 @@ from verdure.llm import blocks, common
 
 LENGTH = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
-SAMPLED, WIDTH = 4, 7
+WIDTH = 7
 #: Bytes of text for which the arrays of a byte each are held at once.
 PART_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
@@ -105,12 +105,18 @@ def _grouped(h: np.ndarray) -> tuple[np.ndarray, ...]:
     return s[at], back, order[at], order[np.concatenate([at[1:], [len(s)]]).astype(np.int64) - 1] if len(s) else order
 
 
+def sampled_width(n_blocks: int) -> int:
+    """Bytes of a sampled string's name besides the first: as many as keep chance matches, which cost work and nothing else, below about one in a hundred."""
+    return 4 + (n_blocks > 1 << 13) + (n_blocks > 1 << 21)
+
+
 class _Block:
     """One block's work; every pass builds it again from the text and what it was told so far."""
 
-    def __init__(self, table: pa.Table, told: pa.Table | None, length: int):
+    def __init__(self, table: pa.Table, told: pa.Table | None, length: int, n_blocks: int):
         self.ids, packed = blocks.opened(table)
         self.texts, self.length = blocks.unpack(packed), length
+        self.bits, self.sampled_width = blocks.bucket_bits(n_blocks), sampled_width(n_blocks)
         self.told = {}
         if told is not None:
             for kind, bucket, hits in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "hits")), strict=True):
@@ -119,7 +125,7 @@ class _Block:
                 self.told[kind][1].append(hits)
 
     def _marked(self, kind: int, names: np.ndarray, width: int) -> np.ndarray:
-        return blocks.marked(names, width, *self.told.get(kind, ([], [])))
+        return blocks.marked(names, width, *self.told.get(kind, ([], [])), self.bits)
 
     def whole(self) -> tuple[np.ndarray, ...]:
         return _grouped(np.array([xxhash.xxh64_intdigest(t) for t in self.texts], np.uint64))
@@ -145,7 +151,7 @@ class _Block:
         for docs in self.groups:
             p = self.part(docs)
             at = p.sampled(k)
-            names.append(p.names(at, k, SAMPLED))
+            names.append(p.names(at, k, self.sampled_width))
             owner.append(self.ids[docs][p.doc[at]])
         return np.concatenate(names), np.concatenate(owner)
 
@@ -154,7 +160,7 @@ class _Block:
         k, lo = self.length - PERIOD + 1, 0
         names, owner = self.samples()
         names, back, first, last = _grouped(names)
-        shared = (self._marked(1, names, SAMPLED) | (owner[first] != owner[last]))[back]
+        shared = (self._marked(1, names, self.sampled_width) | (owner[first] != owner[last]))[back]
         del names, owner, back, first, last
         for docs in self.groups:
             p = self.part(docs)
@@ -168,18 +174,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < 2 * PERIOD:
         raise ValueError(f"strings of {2 * PERIOD} bytes at least")
 
+    n = 2 * blocks.count(docs)
+    bits = blocks.bucket_bits(n)
+
     def send_whole(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield blocks.cells(block, _Block(table, None, length).whole()[0], WIDTH)
+        yield blocks.cells(block, _Block(table, None, length, n).whole()[0], WIDTH, bits)
 
     def send_samples(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield blocks.cells(block, np.unique(_Block(table, told, length).samples()[0]), SAMPLED)
+        yield blocks.cells(block, np.unique(_Block(table, told, length, n).samples()[0]), sampled_width(n), bits)
 
     def send_windows(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
-        names = [p.names(at, length, WIDTH) for _, p, at in _Block(table, told, length).candidates()]
-        yield blocks.cells(block, np.unique(np.concatenate([np.empty(0, np.uint64), *names])), WIDTH)
+        names = [p.names(at, length, WIDTH) for _, p, at in _Block(table, told, length, n).candidates()]
+        yield blocks.cells(block, np.unique(np.concatenate([np.empty(0, np.uint64), *names])), WIDTH, bits)
 
     def finish(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
-        b = _Block(table, told, length)
+        b = _Block(table, told, length, n)
         held, names, owner = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for docs, p, at in b.candidates():
             held.append((docs, at.astype(np.int32)))
@@ -189,8 +198,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         owner = np.concatenate(owner)
         hit = b._marked(2, names, WIDTH)[back] | (owner > owner[first][back])
         del names, back, first, owner
-        n = np.fromiter(map(len, b.texts), np.int64, len(b.texts))
-        removed, kept = np.where(b.copies() & (n >= length), n, 0), list(b.texts)
+        size = np.fromiter(map(len, b.texts), np.int64, len(b.texts))
+        removed, kept = np.where(b.copies() & (size >= length), size, 0), list(b.texts)
         spans = [(k, 0, removed[k]) for k in np.flatnonzero(removed).tolist()]
         for k, _, _ in spans:
             kept[k] = b""
@@ -213,12 +222,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         cols = np.array(spans, np.int64).reshape(-1, 3)
         if as_text:
             kept = [k.decode(errors="ignore").encode() if removed[i] else k for i, k in enumerate(kept)]
-        yield blocks.result(b.ids, n, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
+        yield blocks.result(b.ids, size, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
 
     def told(sent: DataFrame, kind: int, first_free: bool) -> DataFrame:
         return blocks.replies(sent, first_free).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
 
-    dealt = blocks.deal(docs, id_col, text_col, 2 * common.default_parts(docs.sparkSession))
+    dealt = blocks.deal(docs, id_col, text_col, n)
     known = told(blocks.each_block(dealt, send_whole, blocks.CELL), 0, True)
     ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, False)
     known = known.unionByName(ranks)

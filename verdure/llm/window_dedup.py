@@ -40,7 +40,7 @@ _HASHES = _WordHash()
 
 def windows(texts: list[bytes], window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """(words, word count of each text, place of each window in the texts' words one after the other, hash of each window)."""
-    if len(_HASHES) > 1 << 20:
+    if len(_HASHES) > 1 << 18:
         _HASHES.clear()
     words = [t.split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -67,13 +67,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def send(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         *_, h = _block(table, window)
-        yield blocks.cells(block, np.unique(h), WIDTH)
+        yield blocks.cells(block, np.unique(h), WIDTH, bits)
 
     def finish(block: int, table: pa.Table, told: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, words, counts, at, h = _block(table, window)
         names, first, back = np.unique(h, return_index=True, return_inverse=True)
         doc = np.repeat(np.arange(len(ids)), counts)
-        earlier = blocks.marked(names, WIDTH, told.column("bucket").to_pylist(), told.column("hits").to_pylist())
+        earlier = blocks.marked(names, WIDTH, told.column("bucket").to_pylist(), told.column("hits").to_pylist(), bits)
         hit = earlier[back] | (ids[doc[at]] > ids[doc[at[first]]][back]) if len(h) else np.empty(0, bool)
         cover = np.zeros(len(doc) + 1, np.int64)
         np.add.at(cover, at[hit], 1)
@@ -87,7 +87,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             kept.append(b" ".join(left))
         yield blocks.result(ids, counts, removed, _spans(gone, starts, counts), kept, text=True)
 
-    dealt = blocks.deal(docs, id_col, text_col)
+    n = blocks.count(docs)
+    bits, dealt = blocks.bucket_bits(n), blocks.deal(docs, id_col, text_col, n)
     told = blocks.replies(blocks.each_block(dealt, send, blocks.CELL), first_free=True)
     return blocks.each_block_with(dealt, told, finish, SCHEMA)
 
