@@ -132,6 +132,7 @@ def marked(names: np.ndarray, width: int, bucket: list[int], hits: list[bytes],
 
 def each_block(dealt: DataFrame, work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(block: pa.Table) -> pa.Table:
+        common.tidy()
         return pa.Table.from_batches(list(work(block.column("block")[0].as_py(), block)))
 
     return dealt.groupBy("block").applyInArrow(run, schema)
@@ -139,6 +140,7 @@ def each_block(dealt: DataFrame, work: Callable[[int, pa.Table], Iterator[pa.Rec
 
 def each_block_with(dealt: DataFrame, told: DataFrame, work: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        common.tidy()
         return pa.Table.from_batches(list(work(block.column("block")[0].as_py(), block, told)))
 
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)

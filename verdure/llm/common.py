@@ -8,6 +8,7 @@ before every other id; repeated rows are rows of their own unless the operator s
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators.
 NULL_ID = -(2**63)
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows at most, and bytes about, in an Arrow batch between Spark and a worker; a setting of the session's own stays.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +73,24 @@ def default_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: a batch of long texts stands in the executor twice, and in its worker."""
+    for key, most in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
+def tidy() -> None:
+    """Give back to the system what earlier tasks of this worker freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = True) -> DataFrame:
     """Columns id (long, NULL_ID for null) and text (bytes or string, empty for null)."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (text.cast("binary") if binary else text).alias("text"))
 
@@ -82,6 +101,7 @@ def real_id(name: str = "id", alias: str = "doc_id"):
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, list, pa.RecordBatch]]:
     """(ids, texts, slice) of at most about `most` bytes of text, one document at least."""
+    tidy()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -127,8 +127,7 @@ def _emit(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, window: int
     order = np.lexsort((start, doc))
     doc, start, length, sequence, offset = (x[order] for x in (doc, start, length, sequence, offset))
     lo = (np.cumsum(lengths) - lengths)[doc] + start
-    wide = memoryview(ids.astype("<u4").view(np.uint8))
-    crc = np.fromiter((zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)), np.int64, len(lo))
+    crc = np.fromiter((zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)), np.int64, len(lo))
     d = doc_ids[doc]
     cols = [pa.array(d, mask=d == common.NULL_ID), *map(pa.array, (start, length, crc, lengths[doc], base + sequence, offset))]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")]), int(sequence.max()) + 1 if len(sequence) else 0
