@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdure.llm import byte_dedup, common, decontaminate, packing, quality_rules, simhash
+from verdure.llm.components import components
 
 #: Stages can't be put in SQL (XXH64 fingerprints, tokenizers); tests hold them against brute force.
 ORACLE_SQL = None
@@ -24,23 +25,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of linked fingerprints; of rows with that id, one."""
-    stay = simhash.near_duplicates(docs).where("id = component").select(F.col("id").alias("stays")).distinct()
-    return docs.join(stay, _id() == F.col("stays"), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each component of linked fingerprints: of those with the smallest id, the one with the smallest fingerprint. An id links nothing, whether null or met twice."""
+    rows = docs.withColumn("row", F.struct(_id().alias("id"), simhash.fingerprint_of("text").alias("fp")))
+    marks = common.cut(rows.select("row.id", "row.fp"), "fingerprints")
+    entries = marks.groupBy("fp").agg(F.min("id").alias("id"))
+    roots = components(simhash.links(entries.select("fp", F.col("fp").alias("node"))))
+    group = F.coalesce("root", "fp")
+    stay = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group).agg(F.min(F.struct("id", "fp")).alias("row")).select("row")
+    return rows.join(stay, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
+
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's own in place of doc_id, in order of the ids, null first; `was` is the id. Written, so that keys stay what they are."""
+    rows = docs.withColumnRenamed("doc_id", "was")
+    n = common.default_parts(spark)
+    return common.cut(rows.repartitionByRange(n, "was", F.xxhash64("text")).sortWithinPartitions("was", F.xxhash64("text")).withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the 50-byte strings that start in an earlier one; n_chars counts what is left."""
-    left = byte_dedup.remove_repeats(docs, as_text=True).select("id", "kept")
-    rest = docs.drop("text", "n_chars").withColumn("id", _id())
-    kept = rest.join(left, "id").withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    rows = _keyed(spark, docs)
+    left = byte_dedup.remove_repeats(rows, as_text=True).select(F.col("id").alias("doc_id"), "kept")
+    kept = rows.drop("text", "n_chars").join(left, "doc_id").withColumns({"doc_id": F.col("was"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
     return kept.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    found = decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("id").alias("leaks")).distinct()
-    return docs.join(found, _id() == F.col("leaks"), "left_anti")
+    """Documents in which no benchmark item was found. Rows go by a name of id and text, so that a leak takes no other text of its id."""
+    rows = docs.withColumn("row", F.xxhash64(_id(), F.coalesce("text", F.lit(""))))
+    found = decontaminate.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

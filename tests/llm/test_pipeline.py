@@ -67,3 +67,17 @@ def test_each_stage_on_what_the_one_before_kept(spark, rows, tmp_path):
     ref = whole("byte_bpe_50k.json")
     assert sum(r.length for r in pieces) == sum(len(ref.encode(t, add_special_tokens=False).ids) + 1 for _, t in want)
     assert cp.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_an_id_links_nothing(spark, tmp_path):
+    """Unlike texts under no id or the same id all stay; a leak takes its own row only."""
+    prose = lambda k: " ".join(f"{k}{j}" for j in range(40))
+    unlike = [(None, prose("qa")), (None, prose("wz")), (5, prose("er")), (5, prose("tx")), (6, prose("op"))]
+    rows = [*unlike, (6, prose("op")), (5, f"{prose('vb')} {LEAK} and after"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(0, LEAK)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = lambda df: sorted(((r.doc_id, r.text or "") for r in df.collect()), key=repr)
+    once = cp.near_dedup(spark, docs, str(tmp_path))
+    assert said(once) == sorted([*unlike, rows[6], (8, "")], key=repr)
+    assert len(cp.substring_dedup(spark, docs, str(tmp_path)).collect()) == len(rows)
+    assert said(cp.decontamination(spark, docs, str(tmp_path))) == sorted([(i, t or "") for i, t in rows if LEAK not in (t or "")], key=repr)

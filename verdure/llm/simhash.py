@@ -64,6 +64,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.keyed(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
+def fingerprint_of(text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED):
+    """The fingerprint of a text column, bits as a signed long: for rows that no id tells apart."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64))
+
+    return run(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def _linked(x: np.ndarray, bits: int) -> np.ndarray:
     """Of differences x: which pairs share bytes enough and then differ in few enough bits."""
     out = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - bits
