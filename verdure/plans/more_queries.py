@@ -142,3 +142,12 @@ def _(spark, sf):
     v = vectors(spark, sf).select(array_to_vector("values").alias("features"))
     share = PCA(k=64, inputCol="features", outputCol="pc").fit(v).explainedVariance.toArray()
     return spark.createDataFrame([(int((share.cumsum() < 0.9).sum()) + 1,)], "n_needed int")
+
+
+# Whole-table forms of queries whose SQL takes a part of the table; without SQL, held against brute force.
+
+
+@query("set_jaccard_whole")
+def _(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
+    return d.toDF("a", "x").join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("y")), "a").select("a", "b", r(text.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
