@@ -17,3 +17,23 @@ def test_jaccard_of_whole_texts(spark):
     want = {(i, i + 1): round(len(d[i] & d[i + 1]) / len(d[i] | d[i + 1]), 9) for i in d if i + 1 in d}
     got = {(x.a, x.b): x.jaccard for x in plans.QUERIES["set_jaccard_whole"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+
+
+def test_spearman_of_all_samples(spark):
+    from verdure.plans.matrix_queries import dense
+
+    cells = dense(spark, SF).select("sample_id", "gene_id", "value").collect()
+    by = {}
+    for c in cells:
+        by.setdefault(c.sample_id, {})[c.gene_id] = c.value
+
+    def ranked(v):
+        v = np.array([v[g] for g in sorted(v)])
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    ids = sorted(by)
+    want = np.corrcoef([ranked(by[i]) for i in ids])
+    got = plans.QUERIES["sample_spearman_all"](spark, SF).collect()
+    at = {i: k for k, i in enumerate(ids)}
+    assert len(got) == len(ids) * (len(ids) - 1) // 2 > 1770
+    assert all(abs(x.rho - want[at[x.a], at[x.b]]) < 2e-6 for x in got)

@@ -151,3 +151,8 @@ def _(spark, sf):
 def _(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
     return d.toDF("a", "x").join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("y")), "a").select("a", "b", r(text.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+
+
+@query("sample_spearman_all")
+def _(spark, sf):
+    return distance.sample_spearman(dense(spark, sf)).withColumn("rho", r("rho"))
