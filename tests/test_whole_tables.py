@@ -37,3 +37,26 @@ def test_spearman_of_all_samples(spark):
     at = {i: k for k, i in enumerate(ids)}
     assert len(got) == len(ids) * (len(ids) - 1) // 2 > 1770
     assert all(abs(x.rho - want[at[x.a], at[x.b]]) < 2e-6 for x in got)
+
+
+def test_similarity_of_all_labels(spark):
+    p = sorted(rows("part", "p_partkey", "p_type", "p_brand"))
+    want = {(a, b): round((2 * (t == u) + (c == d)) / 3, 8) for a, t, c in p for b, u, d in p if a < b and (t == u or c == d)}
+    assert {(x.a, x.b): x.similarity for x in plans.QUERIES["label_similarity_all"](spark, SF).collect()} == want
+
+
+def test_axes_treatments_and_intensity(spark):
+    from verdure.operators.distance import label_similarity
+
+    w = {"tissue": 2.0, "treatment": 1.0, "treatment_intensity": 1.0}
+    cases = [
+        (("leaf", "Heat+Salt", "2"), ("leaf", "heat", "4"), (2 + 0.5 + 0.25) / 4),
+        (("leaf", "Heat", "mild"), ("root", "Heat", "4"), (0 + 1 + 1) / 4),
+        (("leaf", "Heat", "0"), ("leaf", "Heat", "0"), 1.0),
+        (("leaf", "Heat", "1"), ("leaf", "Salt", "1"), 2 / 4),
+        ((" leaf", None, None), ("leaf", "Heat", "3"), 1.0),
+        (("Unknown", None, "na"), ("leaf", "Heat", "3"), 0.0),
+    ]
+    s = "struct<tissue:string,treatment:string,treatment_intensity:string>"
+    got = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], f"k int, a {s}, b {s}").select("k", label_similarity("a", "b", w).alias("s")).collect()
+    assert all(abs(x.s - cases[x.k][2]) < 1e-12 for x in got)

@@ -169,6 +169,36 @@ def sample_spearman(m: DataFrame) -> DataFrame:
     return pairs(v).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"), F.try_divide(dot, F.col("a.norm") * F.col("b.norm")).alias("rho"))
 
 
+#: Labels that say nothing.
+UNKNOWN = ("", "unspecified", "unknown", "na", "nan", "none")
+
+
+def _treatments(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.split(c, r"\+"), lambda x: F.lower(F.btrim(x))), lambda x: x != ""))
+
+
+def label_similarity(a: str, b: str, weights: dict[str, float], unknown: tuple[str, ...] = UNKNOWN) -> Column:
+    """Of structs a and b of label strings: the weighted mean over axes valid on both sides, 0 without one. treatment counts by the Jaccard of its
+    parts; treatment_intensity by that times 1 - |i - j| / max, by that alone if an intensity is no number or the larger one is 0."""
+    valid = lambda c: F.coalesce(~F.lower(F.btrim(c)).isin(*unknown), F.lit(False))
+    top, bottom = F.lit(0.0), F.lit(0.0)
+    for axis, weight in weights.items():
+        x, y = F.col(f"{a}.{axis}"), F.col(f"{b}.{axis}")
+        if axis in ("treatment", "treatment_intensity"):
+            t, u = (_treatments(F.coalesce(F.col(f"{k}.treatment"), F.lit(""))) for k in (a, b))
+            same = F.coalesce(F.try_divide(F.size(F.array_intersect(t, u)), F.size(F.array_union(t, u))), F.lit(0.0))
+            if axis == "treatment_intensity":
+                i, j = x.try_cast("double"), y.try_cast("double")
+                share = 1 - F.abs(i - j) / F.nullif(F.greatest(i, j), F.lit(0.0))
+                same = same * F.coalesce(F.when(i.isNotNull() & j.isNotNull(), share), F.lit(1.0))
+        else:
+            same = (F.btrim(x) == F.btrim(y)).cast("double")
+        both = valid(x) & valid(y)
+        top = top + F.when(both, weight * same).otherwise(0.0)
+        bottom = bottom + F.when(both, F.lit(float(weight))).otherwise(0.0)
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+
 def masked(m: DataFrame, share: float = 0.15, mask: float = -10.0, seed: int = 42, held: float = 0.1) -> DataFrame:
     """m with input (the mask for about `share` of the non-zero values), is_masked and part (train or valid by sample), the same each time."""
     u = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)

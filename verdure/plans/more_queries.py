@@ -156,3 +156,10 @@ def _(spark, sf):
 @query("sample_spearman_all")
 def _(spark, sf):
     return distance.sample_spearman(dense(spark, sf)).withColumn("rho", r("rho"))
+
+
+@query("label_similarity_all")
+def _(spark, sf):
+    p = t(spark, sf, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    s = distance.pairs(p, "p_partkey").withColumn("similarity", distance.label_similarity("a", "b", {"type": 2.0, "brand": 1.0})).where("similarity > 0")
+    return s.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r("similarity", 8).alias("similarity"))
