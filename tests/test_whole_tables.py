@@ -60,3 +60,17 @@ def test_axes_treatments_and_intensity(spark):
     s = "struct<tissue:string,treatment:string,treatment_intensity:string>"
     got = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], f"k int, a {s}, b {s}").select("k", label_similarity("a", "b", w).alias("s")).collect()
     assert all(abs(x.s - cases[x.k][2]) < 1e-12 for x in got)
+
+
+def test_proxies_of_all_roots(spark):
+    p = rows("part", "p_partkey", "p_size", "p_retailprice")
+    best = {}
+    for k, size, price in p:
+        up = k
+        while size > 16:
+            best[up] = min(best.get(up, (True, 9e9, 0)), (k != up, price / 10000, k))
+            if not up:
+                break
+            up //= 2
+    got = {x.root: (x.proxy, x.go_id) for x in plans.QUERIES["term_proxy_all"](spark, SF).collect()}
+    assert got == {k: (v[0], v[2]) for k, v in best.items() if k in {x[0] for x in p}} and len(got) > 40

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdure.functions import text
-from verdure.operators import distance, ranks
+from verdure.operators import distance, enrich, ranks
 from verdure.plans.matrix_queries import DENSE, dense, r
 from verdure.plans.registry import query, t
 from verdure.plans.stat_queries import PAIRS, labelled_pairs, vectors
@@ -163,3 +163,12 @@ def _(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
     s = distance.pairs(p, "p_partkey").withColumn("similarity", distance.label_similarity("a", "b", {"type": 2.0, "brand": 1.0})).where("similarity > 0")
     return s.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r("similarity", 8).alias("similarity"))
+
+
+@query("term_proxy_all")
+def _(spark, sf):
+    from verdure.plans.stat_queries import tree
+
+    p = t(spark, sf, "part")
+    terms = p.where("p_size > 16").select(F.col("p_partkey").alias("go_id"), (F.col("p_retailprice") / 10000).alias("fdr"))
+    return enrich.best_proxy(terms, tree(spark, sf), p.select(F.col("p_partkey").alias("go_id"))).select("root", "go_id", "proxy")
