@@ -175,3 +175,73 @@ def test_readers_and_sinks(spark, tmp_path):
     assert gone == 1 and sheet.count() == 1
     up = tables.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
     assert {tuple(r) for r in up.collect()} == {(1, "a"), (2, "c")}
+
+
+def test_closure_of_long_chains_and_many_paths(spark):
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(150)]
+    diamonds = [(f"d{k}", f"{s}{k}") for k in range(20) for s in "lr"] + [(f"{s}{k}", f"d{k + 1}") for k in range(20) for s in "lr"]
+    got = enrich.closure(spark.createDataFrame(chain + diamonds, "child string, parent string")).groupBy("node").count()
+    n = dict(map(tuple, got.collect()))
+    assert n["c0"] == 151 and n["c150"] == 1 and n["d0"] == 61
+    loop = enrich.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"))
+    assert loop.count() == 4 and enrich.closure(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+@pytest.mark.parametrize("k_max", [2, 3, 10])
+def test_rank_in_finds_k_among_the_values_it_may_use(spark, k_max):
+    rng = np.random.default_rng(11)
+    x = rng.normal(5, 2, (40, 12)) + np.outer(rng.normal(size=40), rng.normal(size=12)) * 3
+    classes = ["a", "b"] * 6
+    s = np.linalg.svd(_left(x, classes, 100), compute_uv=False)[: min(k_max, 11)]
+    k = int(np.argmax(s[:-1] / s[1:])) + 1
+    assert np.allclose(wide(models.rank_in(long(spark, x, classes), k_max=k_max), x), reference_rank_in(x, classes, 100, k), atol=1e-6)
+
+
+def _left(x, classes, bins):
+    full = reference_rank_in(x, classes, bins, 0)
+    out = full.copy()
+    for c in set(classes):
+        m = np.array(classes) == c
+        out[:, m] -= out[:, m].mean(axis=1, keepdims=True)
+    return out
+
+
+def test_adjusted_p_without_groups(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.uniform(size=300) ** 3, np.repeat(0.2, 40), np.repeat(1.0, 60)])
+    rows = [(k, float(v)) for k, v in enumerate(p)] + [(9999, None)]
+    got = dict(map(tuple, models.adjust_bh(spark.createDataFrame(rows, "k int, p double").repartition(3)).select("k", "adj_p").collect()))
+    order = np.argsort(p)
+    q = np.minimum(1, np.minimum.accumulate((p[order] * len(p) / (np.arange(len(p)) + 1))[::-1])[::-1])
+    assert got[9999] is None and np.allclose([got[k] for k in order], q)
+    assert models.adjust_bh(spark.createDataFrame([], "k int, p double")).count() == 0
+
+
+def test_average_ranks_over_a_table(spark):
+    v = np.random.default_rng(2).integers(0, 30, 200).astype(float)
+    got = dict(map(tuple, ranks.average_rank(spark.createDataFrame([*enumerate(map(float, v)), (999, None)], "k int, v double"), "v").select("k", "rank").collect()))
+    assert got[999] is None and all(got[k] == (v < x).sum() + ((v == x).sum() + 1) / 2 for k, x in enumerate(v))
+
+
+def test_statuses_of_trackers(spark, tmp_path):
+    for name, said in {"GSE1.txt": "0", "GSE2.txt": " 2\n", "GSE3.txt": "3", "GSE4.txt": "ignore", "GSE5.txt": "what", "GSE6.txt": "9", "GSE7.txt": "5", "GSE1_missing_samples.txt": "s", "GSE1_ecotype.txt": "ler", "other.txt": "1"}.items():
+        (tmp_path / name).write_text(said)
+    got = {r.study_id: r.state for r in readers.tracker_statuses(spark, str(tmp_path / "*")).collect()}
+    assert got == {"GSE1": "not_tried", "GSE2": "processed", "GSE3": "ignore", "GSE4": "ignore", "GSE5": "unknown", "GSE6": "unknown", "GSE7": "semi_processed"}
+
+
+def test_strongest_partners_of_a_block_hold_the_strongest_of_all(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 9))
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(9)], "gene_id int, sample_id int, value double")
+    r = np.corrcoef(x)
+    np.fill_diagonal(r, 0)
+    want = {(i, int(j)) for i in range(60) for j in sorted(range(60), key=lambda j: (-abs(round(r[i, j], 9)), j))[:4] if abs(r[i, j]) >= 0.3}
+    got = {(e.src, e.dst) for e in distance.coexpression(m, 4, 0.3).where("src <> dst").collect()}
+    assert got == want
+
+
+def test_a_repeated_key_is_filled_with_the_least_value(spark):
+    look = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", None)], "k string, v string")
+    got = {tuple(r) for r in tables.backfill(spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), look, "k", "v", "none").collect()}
+    assert got == {("a", "x"), ("b", "none"), ("c", "none")}

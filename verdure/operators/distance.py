@@ -2,30 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdure.operators.ranks import percent_rank_average
+from verdure.operators.ranks import average_rank, percent_rank_average
+
+
+def grid(spark: SparkSession) -> int:
+    """Blocks of rows for which the pairs of blocks (each pair once) are about as many as shuffle partitions."""
+    return max(8, math.isqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _sides(v: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """v dealt over the pairs (_x, _y), _x <= _y, of blocks: as rows of block _x, and as rows of block _y."""
+    n = grid(v.sparkSession)
+    d = v.withColumn("_k", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    return d.withColumn("_y", F.explode(F.sequence("_k", F.lit(n - 1)))).withColumnRenamed("_k", "_x"), d.withColumn("_x", F.explode(F.sequence(F.lit(0), "_k"))).withColumnRenamed("_k", "_y")
 
 
 def pairs(v: DataFrame, key: str = "sample_id") -> DataFrame:
-    """All pairs a < b of rows (as structs a and b), dealt over block pairs: each row goes to sqrt(n) blocks."""
-    n_blocks = 8
-    d = v.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
+    """All pairs a < b of rows (as structs a and b), dealt over pairs of blocks, each pair of rows met once."""
     cols = F.struct(*v.columns)
-    left = d.select(cols.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o"), "_b").select("a", F.col("_b").alias("_x"), F.col("_o").alias("_y"))
-    right = d.select(cols.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o"), "_b").select("b", F.col("_o").alias("_x"), F.col("_b").alias("_y"))
-    return left.join(right, ["_x", "_y"]).where(f"a.{key} < b.{key}").select("a", "b")
+    left, right = _sides(v, key)
+    met = left.select(cols.alias("l"), "_x", "_y").join(right.select(cols.alias("r"), "_x", "_y"), ["_x", "_y"]).where(f"_x < _y OR l.{key} < r.{key}")
+    less = F.col(f"l.{key}") < F.col(f"r.{key}")
+    return met.where(f"l.{key} <> r.{key}").select(F.when(less, F.col("l")).otherwise(F.col("r")).alias("a"), F.when(less, F.col("r")).otherwise(F.col("l")).alias("b"))
+
+
+def vector_pairs(v: DataFrame, kind: str, key: str = "sample_id", values: str = "values", least: float | None = None, top: int | None = None) -> DataFrame:
+    """(a, b, value) of pairs a < b of rows with arrays of one length; kind: distance (Euclidean) or dot.
+
+    A pair of blocks is one group of vectors, worked out in numpy. least: only pairs with |value| >= least. top: of a pair
+    of blocks, only pairs among the `top` largest |value| (rounded to 9 digits; then the smaller partner) of either row, which hold each row's largest overall.
+    """
+    kinds = dict(v.dtypes)
+    left, right = (d.select("_x", "_y", F.col(key).alias("k"), F.col(values).cast("array<double>").alias("v")) for d in _sides(v.where(F.col(values).isNotNull()), key))
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            p, q = (np.array(d.column("k").to_pylist()) for d in (x, y))
+            m, n = (d.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(d.num_rows, -1) for d in (x, y))
+            one = x.column("_x")[0].as_py() == x.column("_y")[0].as_py()
+            step = max(1, (1 << 22) // max(1, n.size))
+            got = np.concatenate([np.sqrt(((m[i : i + step, None, :] - n[None]) ** 2).sum(axis=2)) for i in range(0, len(m), step)]) if kind == "distance" else m @ n.T
+            keep = (p[:, None] < q[None, :]) if one else (p[:, None] != q[None, :])
+            if least is not None:
+                keep &= np.abs(got) >= least
+            if top is not None:
+                size = np.where(keep, np.round(np.abs(got), 9), -1.0)
+                if one:  # each pair stands once in a block with itself
+                    both = np.maximum(size, size.T)
+                    near = _among(both, q, top)
+                    keep &= near | near.T
+                else:
+                    keep &= _among(size, q, top) | _among(size.T, p, top).T
+            i, j = np.nonzero(keep)
+            a, b, value = p[i], q[j], got[i, j]
+            swap = a > b
+            out = [np.where(swap, b, a), np.where(swap, a, b), value]
+        else:
+            out = [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(out, (x.schema.field("k").type, x.schema.field("k").type, pa.float64()), strict=True)], names=["a", "b", "value"])
+
+    return left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInArrow(work, f"a {kinds[key]}, b {kinds[key]}, value double")
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _among(size: np.ndarray, partner: np.ndarray, top: int) -> np.ndarray:
+    """Of each row, which columns are its `top` largest, smaller partners first among equals."""
+    out = np.zeros(size.shape, bool)
+    by = np.argsort(partner, kind="stable")
+    order = by[np.argsort(-size[:, by], axis=1, kind="stable")[:, :top]]
+    np.put_along_axis(out, order, True, axis=1)
+    return out
 
 
 def pair_distances(v: DataFrame, key: str = "sample_id", values: str = "values") -> DataFrame:
     """(a, b, distance) of all pairs; v: key and an array of doubles."""
-    p = pairs(v.select(key, values), key)
-    return p.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), euclidean(F.col(f"a.{values}"), F.col(f"b.{values}")).alias("distance"))
+    return vector_pairs(v, "distance", key, values).withColumnRenamed("value", "distance")
 
 
 def separation(p: DataFrame, distance: str = "distance", similarity: str = "similarity") -> DataFrame:
@@ -36,9 +94,8 @@ def separation(p: DataFrame, distance: str = "distance", similarity: str = "simi
 
 def spearman(p: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the correlation of average ranks."""
-    k = p.withColumn("_g", F.lit(0))
-    r = percent_rank_average(percent_rank_average(k, x, ("_g",), "_x"), y, ("_g",), "_y")
-    return r.agg(F.corr("_x", "_y").alias("spearman"))
+    r = average_rank(average_rank(p.select(x, y), x, "_rx"), y, "_ry")
+    return r.agg(F.corr("_rx", "_ry").alias("spearman"))
 
 
 def pooled(p: DataFrame, pool: Column, distance: str = "distance", similarity: str = "similarity") -> DataFrame:
@@ -79,28 +136,27 @@ def adjusted_rand(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: Cramer's V with Yates' correction for 2 x 2; 0 if a side has one level."""
-    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+    """One row: Cramer's V with Yates' correction for 2 x 2; 0 if a side has one level. Cells without rows enter by the margins alone."""
+    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").cast("double").alias("n"))
     rows, cols = n.groupBy(x).agg(F.sum("n").alias("nx")), n.groupBy(y).agg(F.sum("n").alias("ny"))
-    size = n.agg(F.sum("n").alias("t"), F.countDistinct(x).alias("r"), F.countDistinct(y).alias("c"))
-    grid = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(size)).join(n, [x, y], "left")
-    e = F.col("nx") * F.col("ny") / F.col("t")
-    gap = F.abs(F.coalesce("n", F.lit(0)) - e)
-    gap = F.when((F.col("r") == 2) & (F.col("c") == 2), gap - F.least(gap, F.lit(0.5))).otherwise(gap)
-    chi = grid.agg(F.sum(gap * gap / e).alias("chi"), F.max("t").alias("t"), F.max("r").alias("r"), F.max("c").alias("c"))
+    r = rows.agg(F.count("*").alias("r"), F.sum(1 / F.col("nx")).alias("ix"), F.sum("nx").alias("t"))
+    c = cols.agg(F.count("*").alias("c"), F.sum(1 / F.col("ny")).alias("iy"))
+    cell = n.join(rows, x).join(cols, y).agg(F.sum(F.col("n") ** 2 / (F.col("nx") * F.col("ny"))).alias("q"), F.max(F.struct(F.col("n"), F.col("nx") * F.col("ny"))).alias("one"))
+    all_ = cell.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c))
+    gap = F.abs(F.col("one.n") - F.col("one.col2") / F.col("t"))  # the same for all cells of a 2 x 2
+    square = (gap - F.least(gap, F.lit(0.5))) ** 2 * F.col("t") * F.col("ix") * F.col("iy")
+    chi = F.when((F.col("r") == 2) & (F.col("c") == 2), square).otherwise(F.col("t") * (F.col("q") - 1))
     k = F.least("r", "c") - 1
-    return chi.select(F.when(k < 1, 0.0).otherwise(F.sqrt(F.col("chi") / F.col("t") / F.greatest(k, F.lit(1)))).alias("v"))
+    return all_.select(F.when(F.coalesce(k, F.lit(0)) < 1, 0.0).otherwise(F.sqrt(F.greatest(chi, F.lit(0.0)) / F.col("t") / F.greatest(k, F.lit(1)))).alias("v"))
 
 
 def coexpression(m: DataFrame, k: int = 20, least: float = 0.2) -> DataFrame:
     """(src, dst, weight): the k strongest correlations |r| >= least of each gene and itself at 1, scaled by the roots of both out-degrees and held to [-1, 1]."""
     g = Window.partitionBy("gene_id")
     sd = F.stddev_pop("value").over(g)
-    z = m.withColumn("z", (F.col("value") - F.avg("value").over(g)) / F.when(sd > 0, sd).otherwise(1.0)).select("gene_id", "sample_id", "z")
+    z = m.withColumn("z", (F.col("value") - F.avg("value").over(g)) / F.when(sd > 0, sd).otherwise(1.0) / F.sqrt(F.count("value").over(g))).select("gene_id", "sample_id", "z")
     v = z.groupBy("gene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "z"))), lambda s: s["z"]).alias("values"))
-    p = pairs(v, "gene_id")
-    r = F.aggregate(F.zip_with(F.col("a.values"), F.col("b.values"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.size("a.values")
-    p = p.select(F.col("a.gene_id").alias("a"), F.col("b.gene_id").alias("b"), r.alias("r")).where(F.abs("r") >= least)
+    p = vector_pairs(v, "dot", "gene_id", least=least, top=k).withColumnRenamed("value", "r")
     way = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
     top = way.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.abs(F.round("r", 9))), "b"))).where(F.col("_n") <= k)
     e = top.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("r").alias("w")).unionByName(v.select(F.col("gene_id").alias("src"), F.col("gene_id").alias("dst"), F.lit(1.0).alias("w")))
@@ -134,7 +190,7 @@ def quantile_distance(q: DataFrame, by: str = "sample_id") -> DataFrame:
 def within(p: DataFrame, labels: DataFrame, bio: str, batch: str, key: str = "sample_id", least: int = 3) -> DataFrame:
     """(bio, asw): mean silhouette of batches within each bio class of at least `least` samples and two batches."""
     a, b = (labels.select(F.col(key).alias(k), F.col(bio).alias(f"_{k}")) for k in "ab")
-    same = p.join(F.broadcast(a), "a").join(F.broadcast(b), "b").where("_a = _b")
+    same = p.join(a, "a").join(b, "b").where("_a = _b")
     good = labels.groupBy(bio).agg(F.count("*").alias("n"), F.countDistinct(batch).alias("k")).where((F.col("n") >= least) & (F.col("k") >= 2))
     s = silhouette(same.select("a", "b", "distance"), labels, key, batch)
     return s.join(labels.select(key, bio), key).join(good.select(bio), bio, "left_semi").groupBy(bio).agg(F.avg("s").alias("asw"))
@@ -160,13 +216,14 @@ def density(m: DataFrame, low: float, high: float, bins: int = 99, by: str = "sa
 
 
 def sample_spearman(m: DataFrame) -> DataFrame:
-    """(a, b, rho) of all pairs of samples over the genes, by average ranks."""
+    """(a, b, rho) of all pairs of samples over the genes, by average ranks; NULL for a sample of one value throughout."""
     r = percent_rank_average(m, "value", ("sample_id",), "r")
     v = r.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_id", "r"))), lambda s: s["r"]).alias("values"))
     mean = F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.size("values")
-    v = v.withColumn("values", F.transform("values", lambda x: x - mean)).withColumn("norm", F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)))
-    dot = F.aggregate(F.zip_with("a.values", "b.values", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return pairs(v).select(F.col("a.sample_id").alias("a"), F.col("b.sample_id").alias("b"), F.try_divide(dot, F.col("a.norm") * F.col("b.norm")).alias("rho"))
+    v = v.withColumn("values", F.transform("values", lambda x: x - mean))
+    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x))
+    v = v.withColumn("values", F.transform("values", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(float("nan")))))
+    return vector_pairs(v, "dot").select("a", "b", F.when(~F.isnan("value"), F.col("value")).alias("rho"))
 
 
 #: Labels that say nothing.

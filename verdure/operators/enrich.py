@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from verdure.functions.special import hypergeom_tail
 from verdure.operators.models import adjust_bh
 from verdure.operators.ranks import first_per, rank_percentile
+from verdure.storage import cut, uncut
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, ancestor) over all paths, every node with itself."""
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql("""WITH RECURSIVE up(node, ancestor) AS (
-      SELECT x, x FROM (SELECT c AS x FROM _edges UNION SELECT p FROM _edges)
-      UNION ALL SELECT up.node, e.p FROM up JOIN _edges e ON e.c = up.ancestor)
-    SELECT DISTINCT node, ancestor FROM up""")
+    """(node, ancestor) over all paths, every node with itself. Each round joins the pairs found so far with themselves, so a
+    path of n steps takes log2 n rounds and each pair is kept once however many paths lead to it; cycles do no harm."""
+    e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL")
+    own = e.select("node").union(e.select("ancestor")).distinct().select("node", F.col("node").alias("ancestor"))
+    now = cut(e.unionByName(own).distinct(), "closure")
+    n = now.count()
+    while True:
+        up = now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
+        new = cut(now.join(up, "ancestor").select("node", F.col("_far").alias("ancestor")).distinct(), "closure")
+        uncut(now)
+        now, last, n = new, n, new.count()
+        if n == last:
+            return now
 
 
 def propagate(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term: str = "go_id") -> DataFrame:

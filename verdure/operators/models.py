@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.special import digamma, t_two_sided, trigamma, trigamma_inverse
-from verdure.operators.ranks import center, weighted_ranks
+from verdure.operators.ranks import center, ranges, weighted_ranks
+
+#: Rows of the Gram matrix that are summed together.
+GRAM_ROWS = 256
 
 
 def _levels(values: pd.Series) -> np.ndarray:
@@ -80,8 +83,8 @@ def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int =
     """Rank-In: weighted ranks less the k leading directions of what is left after class means.
 
     m: gene_id, sample_id, value, class. A missing class or fewer than two classes is refused; k is held to
-    min(k_max, samples - 1, genes - 1), and by default is where the ratio of successive singular values is largest.
-    The samples x samples Gram matrix is summed by Spark and solved on the driver.
+    min(k_max, samples - 1, genes - 1), and by default is where, of that many singular values, the ratio of successive
+    ones is largest. The samples x samples Gram matrix is summed by Spark in blocks of rows and solved on the driver.
     """
     check = m.agg(F.count_if(F.col(by).isNull()).alias("missing"), F.countDistinct(by).alias("n"), F.countDistinct("sample_id").alias("s"), F.countDistinct("gene_id").alias("g")).first()
     if check.missing:
@@ -89,25 +92,36 @@ def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int =
     if check.n < 2:
         raise ValueError("two classes at least")
     w = center(weighted_ranks(m, n_bins), ("gene_id", by), "weighted", "left")
-    names = [r[0] for r in w.select("sample_id").distinct().orderBy("sample_id").collect()]
+    names = sorted(r[0] for r in m.select("sample_id").distinct().collect())
     place = {v: i for i, v in enumerate(names)}
     n = len(names)
 
-    def gram(batches):
+    def gram(batches):  # of all genes of a task, a block of rows at a time
+        g = np.zeros((n, n))
+        for pdf in batches:
+            x = np.zeros((len(pdf), n))
+            for k, (i, v) in enumerate(zip(pdf["s"], pdf["v"], strict=True)):
+                x[k, [place[a] for a in i]] = v
+            g += x.T @ x
+        if g.any():
+            yield pd.DataFrame({"block": range(0, n, GRAM_ROWS), "g": [g[k : k + GRAM_ROWS].tobytes() for k in range(0, n, GRAM_ROWS)]})
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            g = np.zeros((n, n))
-            for i, v in zip(pdf["s"], pdf["v"], strict=True):
-                at, x = np.array([place[k] for k in i]), np.asarray(v, float)
-                g[np.ix_(at, at)] += np.outer(x, x)
-            yield pd.DataFrame({"g": [g.tobytes()]})
-
-    rows = w.groupBy("gene_id").agg(F.collect_list("sample_id").alias("s"), F.collect_list("left").alias("v"))
-    g = sum((np.frombuffer(r.g).reshape(n, n) for r in rows.select("s", "v").mapInPandas(gram, "g binary").toLocalIterator()), np.zeros((n, n)))
+            for k, b in zip(pdf["block"], pdf["g"], strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(b)
+        yield pd.DataFrame({"block": list(total), "g": [v.tobytes() for v in total.values()]})
+
+    rows = w.groupBy("gene_id").agg(F.collect_list("sample_id").alias("s"), F.collect_list("left").alias("v")).select("s", "v")
+    g = np.zeros((n, n))
+    for r in rows.mapInPandas(gram, "block long, g binary").repartition("block").mapInPandas(summed, "block long, g binary").toLocalIterator():
+        g[r.block : r.block + GRAM_ROWS] = np.frombuffer(r.g).reshape(-1, n)
     values, vectors = np.linalg.eigh(g)
     sv, vectors = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
     most = max(1, min(k_max, check.s - 1, check.g - 1))
     if k is None:
-        k = int(np.argmax(sv[:most] / np.maximum(sv[1 : most + 1], 1e-12))) + 1
+        k = int(np.argmax(sv[: most - 1] / (sv[1:most] + 1e-12))) + 1 if most > 1 else 1
     top = vectors[:, : min(k, most)]
 
     @F.pandas_udf("array<double>")
@@ -124,12 +138,24 @@ def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int =
 
 
 def adjust_bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), out: str = "adj_p") -> DataFrame:
-    """Benjamini-Hochberg within `by`: the least of p m / rank from a row's rank on."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    """Benjamini-Hochberg within `by`: the least of p m / rank from a row's rank on; NULL p stay NULL and don't count.
+
+    Rows are ranked from the largest p down, so the frame only grows. Without `by`, rows are dealt into ranges of p; the
+    rows and the least value of the ranges above are added by a join with one row a range.
+    """
+    if not by:
+        d, ends = ranges(df, p, "_b")
+        w = Window.partitionBy("_b").orderBy(F.desc(p))
+        d = d.join(F.broadcast(ends), "_b", "left").withColumn("_v", F.col(p) * F.col("_n") / (F.col("_upto") - F.row_number().over(w) + 1))
+        least = d.groupBy("_b").agg(F.min("_v").alias("_m")).withColumn("_above", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
+        d = d.join(F.broadcast(least.select("_b", "_above")), "_b", "left")
+        run = F.least(F.lit(1.0), F.min("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_above")
+        return d.withColumn(out, F.when(F.col(p).isNotNull(), run)).drop("_b", "_n", "_upto", "_v", "_above")
+    w = Window.partitionBy(*by)
     n, i = F.count(p).over(w), F.row_number().over(w.orderBy(F.asc_nulls_last(p)))
-    ahead = w.orderBy(F.asc("_i")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = df.withColumn("_n", n).withColumn("_i", i)
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_i")).over(ahead)))).drop("_n", "_i")
+    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_i")).over(down)))).drop("_n", "_i")
 
 
 def two_groups(m: DataFrame, treated: str = "treated", by: tuple[str, ...] = ("gene_id",)) -> DataFrame:

@@ -15,6 +15,33 @@ def percent_rank_average(df: DataFrame, value: str = "value", by: tuple[str, ...
     return df.withColumn(out, F.when(clean.isNotNull(), pct))
 
 
+def ranges(df: DataFrame, value: str, out: str = "_b", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df with the number of the range of value a row falls in, one row a range: out, _n of all rows and _upto of the rows up to its end).
+
+    Ranges ascend and hold about as many rows each; equal values share one; NULL and NaN get NULL and aren't counted. As many ranges as shuffle partitions.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(value).cast("double")
+    clean = F.when(~F.isnan(v), v)
+    bounds = sorted(set(df.agg(F.percentile_approx(clean, [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []))
+    low = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
+    at = F.when(clean.isNotNull(), F.size(F.filter(low, lambda x: x < clean)))
+    d = df.withColumn(out, at)
+    n = d.where(F.col(out).isNotNull()).groupBy(out).agg(F.count("*").alias("_k"))
+    w = Window.orderBy(out)
+    ends = n.select(out, F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"), F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"))
+    return d, ends
+
+
+def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """Rank over the whole table, ties at their average, without gathering it in one task; NULL and NaN get NULL."""
+    d, ends = ranges(df, value, "_b")
+    w = Window.partitionBy("_b").orderBy(F.desc(value))
+    ties = F.count("*").over(Window.partitionBy("_b", value))
+    d = d.join(F.broadcast(ends.select("_b", "_upto")), "_b", "left")
+    return d.withColumn(out, F.when(F.col("_b").isNotNull(), F.col("_upto") - F.rank().over(w) + 1 - (ties - 1) / 2)).drop("_b", "_upto")
+
+
 def rank_bins(df: DataFrame, n_bins: int = 100, value: str = "value", by: tuple[str, ...] = ("sample_id",), out: str = "bin") -> DataFrame:
     """ceil(average percent rank x n_bins): 1 to n_bins."""
     return percent_rank_average(df, value, by, "_pct").withColumn(out, F.ceil(F.col("_pct") * n_bins).cast("long")).drop("_pct")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def backfill(df: DataFrame, lookup: DataFrame, key: str, value: str, default: str = "Unknown_Study", out: str | None = None) -> DataFrame:
-    """Left join of lookup (key, value), default where it has none."""
-    found = df.join(lookup.select(key, F.col(value).alias("_v")).dropDuplicates([key]), key, "left")
+    """Left join of lookup (key, value), default where it has none; of several values of a key the least."""
+    found = df.join(lookup.groupBy(key).agg(F.min(value).alias("_v")), key, "left")
     return found.withColumn(out or value, F.coalesce(F.col("_v").cast("string"), F.lit(default))).drop("_v")
 
 

@@ -172,7 +172,7 @@ def labelled_pairs(spark, sf):
     v = vectors(spark, sf)
     lab = v.select("sample_id", "class")
     p = distance.pair_distances(v)
-    return p.join(F.broadcast(lab.toDF("a", "la")), "a").join(F.broadcast(lab.toDF("b", "lb")), "b").withColumn("similarity", (F.col("la") == F.col("lb")).cast("double"))
+    return p.join(lab.toDF("a", "la"), "a").join(lab.toDF("b", "lb"), "b").withColumn("similarity", (F.col("la") == F.col("lb")).cast("double"))
 
 
 @query("global_distance_metrics", f"WITH {PAIRS}, s AS (SELECT d, (la = lb)::INT::DOUBLE AS s FROM p) SELECT round(sum(d * s) / sum(d * (1 - s)), 8) AS separation, round(corr(d, s), 6) AS pearson, count(*) AS n_pairs FROM s")

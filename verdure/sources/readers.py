@@ -146,14 +146,18 @@ def coverage_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_replace("Sample", r"^GSE\d+_", "").alias("sample"), F.coalesce(F.col("Percent_Mapped").try_cast("double"), F.lit(0.0)).alias("percent"))
 
 
-STATUS = {-1: "ignored", 0: "pending", 1: "downloaded", 2: "samplesheet", 3: "processed", 4: "error", 5: "semi"}
+# Fixed values of the tracker files: the code in a study's file and its state.
+STATUS = {0: "not_tried", 1: "downloaded", 2: "processed", 3: "ignore", 4: "error", 5: "semi_processed"}
 
 
 def tracker_statuses(spark: SparkSession, glob: str) -> DataFrame:
-    """(study_id, code, state): one file a study holding a code; side files are left out, other contents are 'unknown'."""
-    files = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("study_id"), F.trim("value").try_cast("int").alias("code"))
+    """(study_id, code, state): one GSE*.txt file a study, with a code or the name of a state; side files are left out, other contents are 'unknown'."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    files = spark.read.text(glob, wholetext=True).select(name.alias("name"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("raw"))
+    files = files.where("name RLIKE '^GSE.*[.]txt$' AND NOT name RLIKE '_(meta|ecotype|missing_samples)'").select(F.regexp_replace("name", r"\.txt$", "").alias("study_id"), F.col("raw").try_cast("int").alias("code"), "raw")
     names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
-    return files.where("NOT study_id RLIKE '_(meta|ecotype|missing_samples)'").withColumn("state", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("unknown")))
+    said = F.when(F.col("raw").isin(*STATUS.values()), F.col("raw"))
+    return files.select("study_id", "code", F.coalesce(F.try_element_at(names, F.col("code")), said, F.lit("unknown")).alias("state"))
 
 
 def log_lines(spark: SparkSession, glob: str) -> DataFrame:
