@@ -5,17 +5,29 @@ from __future__ import annotations
 import json
 import os
 import re
+from operator import attrgetter
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words kept by a worker; then it starts afresh.
-MEMO_WORDS, MEMO_IDS = 1 << 18, 1 << 21
+#: Distinct words kept by a worker, and ids of theirs; then it starts afresh.
+MEMO_WORDS, MEMO_IDS = 1 << 19, 1 << 22
 _CUT_IN_SPACE = re.compile(r"\s \s|  ")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
+def _letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible ones for themselves, the others numbered from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_LETTERS = _letters()
+_ID = attrgetter("id")
+
+
 class _Codes(dict):
     """word -> code; a new word gets the next code and waits in `new` to be encoded."""
 
@@ -30,26 +42,33 @@ class _Codes(dict):
 
 
 class WordTokenizer:
-    """Encodes as the tokenizers library does with add_special_tokens=False; special tokens' strings are ordinary text.
+    """Encodes as the tokenizers library's encode does with add_special_tokens=False.
 
     Both kinds of tokenizer here never join what stands on the two sides of a space, so a text's ids are
     those of its words one after the other. `lead`: the space belongs to the next word (byte-level BPE); a
     text where that isn't sure (a space beside other white space) is encoded whole. `word`: white space is
-    dropped. Any other tokenizer encodes whole texts.
+    dropped. Any other tokenizer, and a text that holds a special token's string, is encoded whole. A new
+    word is normalised and merged by the library's own normaliser and model; the cut between them is the file's pattern.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.load(open(path, encoding="utf-8"))
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            self.kind = "lead"
+            import public_tokenizers
+
+            self.kind, pattern = "lead", public_tokenizers.PATTERN
         elif pre.get("type") == "Sequence" and model.get("end_of_word_suffix") and pre["pretokenizers"][0].get("behavior") == "Removed":
-            self.kind = "word"
+            self.kind, pattern = "word", pre["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern) if self.kind != "whole" else None
+        self.special = [a["content"] for a in spec.get("added_tokens") or []]
+        self.normal, self.model = self.tok.normalizer, self.tok.model
+        plain = "".join(map(chr, range(33, 127)))
+        self.lowers = self.normal is not None and self.normal.normalize_str(plain) == plain.lower()
         self.vocab_size = self.tok.get_vocab_size()
         self.dtype = np.uint16 if self.vocab_size <= 1 << 16 else np.uint32
         self.clear()
@@ -59,21 +78,36 @@ class WordTokenizer:
         self.first, self.rest = _Codes(self), _Codes(self)
         self.start, self.length, self.ids, self.n_ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.dtype), 0
 
-    def _store(self, code: int, encoded: list[list[int]]) -> None:
-        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(lens.sum())
-        if code + len(encoded) > len(self.start):
-            more = max(len(self.start), len(encoded))
+    def _store(self, code: int, lens: list[int], ids: list[int]) -> None:
+        n, total = len(lens), len(ids)
+        if code + n > len(self.start):
+            more = max(len(self.start), n)
             self.start, self.length = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.length))
         if self.n_ids + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), self.dtype)])
-        self.length[code : code + len(encoded)] = lens
-        self.start[code : code + len(encoded)] = self.n_ids + np.cumsum(lens) - lens
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for x in encoded for i in x), self.dtype, total)
+        sizes = np.array(lens, np.int64)
+        self.length[code : code + n] = sizes
+        self.start[code : code + n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.ids[self.n_ids : self.n_ids + total] = ids
         self.n_ids += total
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """(number of ids of each text, the ids of all), by the library's plain call."""
+        each = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(x) for x in each], [i for x in each for i in x]
+
+    def _words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The same of words (with the space before, if they have one)."""
+        lens, ids, cut, merge = [], [], self.pattern.findall, self.model.tokenize
+        for w in words:
+            plain = w.isascii() and w.isprintable()
+            if self.normal is not None:
+                w = w.lower() if plain and self.lowers else self.normal.normalize_str(w)
+            before = len(ids)
+            for x in cut(w):
+                ids.extend(map(_ID, merge(x.replace(" ", "\u0120") if plain else x.encode().decode("latin-1").translate(_LETTERS))))
+            lens.append(len(ids) - before)
+        return lens, ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, the number of each text's ids)."""
@@ -81,7 +115,7 @@ class WordTokenizer:
             self.clear()
         words, counts, heads, whole = [], np.zeros(len(texts), np.int64), [], []
         for k, t in enumerate(texts):
-            if self.kind == "whole" or (self.kind == "lead" and _CUT_IN_SPACE.search(t)) or (self.kind == "word" and _ODD_SPACE.search(t)):
+            if self.kind == "whole" or any(x in t for x in self.special) or (_CUT_IN_SPACE if self.kind == "lead" else _ODD_SPACE).search(t):
                 whole.append(k)
                 parts = [""]
             else:
@@ -94,12 +128,12 @@ class WordTokenizer:
             codes[heads] = [self.first[words[h]] for h in heads]
         if self.new:
             base = self.next - len(self.new)
-            self._store(base, self._encode([(" " if rest and self.kind == "lead" else "") + w for rest, w in self.new]))
+            self._store(base, *self._words([(" " if rest and self.kind == "lead" else "") + w for rest, w in self.new]))
             self.new = []
         if whole:
             base = self.next
             self.next += len(whole)
-            self._store(base, self._encode([texts[k] for k in whole]))
+            self._store(base, *self._whole([texts[k] for k in whole]))
             codes[[heads[k] for k in whole]] = np.arange(base, base + len(whole))
         lens = self.length[codes]
         ends = np.cumsum(lens)
