@@ -81,3 +81,20 @@ def test_an_id_links_nothing(spark, tmp_path):
     assert said(once) == sorted([*unlike, rows[6], (8, "")], key=repr)
     assert len(cp.substring_dedup(spark, docs, str(tmp_path)).collect()) == len(rows)
     assert said(cp.decontamination(spark, docs, str(tmp_path))) == sorted([(i, t or "") for i, t in rows if LEAK not in (t or "")], key=repr)
+
+
+def test_columns_that_clash_and_empty_tables(spark, tmp_path):
+    """Columns named like those used inside pass through; an empty table gives no rows at any stage."""
+    names = ["k", "r", "id", "fp", "t", "kept", "stays", "leaks", "row", "root", "node", "was", "block", "a.b"]
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in ("qa", "wz")] + [f"{' '.join(f'er{k}' for k in range(40))} {LEAK}"]
+    rows = [(k, t, "en", "s", len(t), *range(len(names))) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    spark.createDataFrame([(0, LEAK)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for (name, stage), left in zip(cp.STAGES[:-1], (3, 3, 3, 2), strict=True):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+        assert sorted(map(tuple, out.collect())) == rows[:left], name
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        assert none.columns == docs.columns and not none.collect()
+    assert {r.doc_id for r in cp.pack(spark, docs, str(tmp_path)).collect()} == {0, 1, 2} and not cp.pack(spark, docs.where("false"), str(tmp_path)).collect()

@@ -8,13 +8,11 @@ from tokenizers import Tokenizer
 from verdure.llm import common, packing, token_output
 from verdure.llm.tokens import WordTokenizer, public_path
 
-ODD = ["", " ", "a  b", "a \n b", "\n\n x  ", "it's a <|endoftext|> b", "é́ Σ ΑΣ", "x\t y", "12 345  ", "foo\n\nbar   baz", "a\x1cb c", "a  b  c", " lead", "trail ", "\x00 \x00x"]
+ODD = ["", " ", "a  b", "a \n b", "\n\n x  ", "it's a <|endoftext|> b", "é́ Σ ΑΣ", "x\t y", "12 345  ", "foo\n\nbar   baz", "a\x1cb c", "a  b  c", " lead", "trail ", "\x00 \x00x", "a<|endoftext|>b <|startoftext|> c", "don't WE'LL x's 12a3½ ²", "e\u0301 \u0301x ﬁ ǅ İi ẞ", "\xa0a \u2003b\u3000c", "日本 語x。", "-- ... a--b !?x", "\x7f\x01a b\x1f"]
 
 
 def whole(name):
-    t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -29,14 +27,16 @@ def test_words_encode_as_whole_texts(name, rows):
     assert len(tok.encode([])[0]) == 0
 
 
-@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [0, 1, 2, 3], [3, 70, 70, 1000, 10**12], [-(2**62), 0, 2**62], list(np.cumsum(np.arange(2000) % 37))])
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [0, 1, 2, 3], [3, 70, 70, 1000, 10**12], [-(2**62), 0, 2**62], list(np.cumsum(np.arange(2000) % 37)), [0] * 300 + [10**9] * 700 + list(range(2 * 10**9, 2 * 10**9 + 700))])
 def test_elias_fano(values):
     v = np.array(values, np.int64)
     e = token_output.EliasFano.from_bytes(token_output.EliasFano.of(v).to_bytes())
     assert e.all().tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+    assert all(e.select(i, j).tolist() == v[i:j].tolist() for i, j in [(0, 0), (0, min(1, len(v))), (len(v) // 3, len(v)), (len(v) // 2, len(v) // 2 + len(v) // 4), (min(255, len(v)), min(513, len(v)))])
+    assert all(e.rank(x) == (v <= x).sum() for x in [*v[:: max(1, len(v) // 9)].tolist(), 4, 10**13, -(2**62) - 1])
     with pytest.raises(IndexError):
         e.select(len(v))
-    if len(v) > 1000:
+    if len(v) == 2000:
         assert len(e.to_bytes()) < len(v) * 2
 
 

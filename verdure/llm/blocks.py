@@ -1,7 +1,7 @@
 """Finding what repeats across documents without sending documents around twice.
 
 Documents are dealt into blocks, ranges of ascending ids, once; every pass over them reads that one
-exchange again. A pass names pieces of text by 64-bit hashes; a block sends each distinct name once, as
+exchange again. An id that many rows share (null too) is dealt over several blocks of the same order. A pass names pieces of text by 64-bit hashes; a block sends each distinct name once, as
 sorted, packed cells (one a bucket of names), and gets back a bit a name in the same order. A name held by
 a third of all documents so costs one entry a block, and the largest thing in one task is a block's text or
 a bucket's names, both of a size set by the number of blocks.
@@ -9,38 +9,48 @@ a bucket's names, both of a size set by the number of blocks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from verdure.llm import common
 
-#: Documents in a block at most, on average.
-BLOCK_ROWS = 5_000
+#: Documents in a block at most, and bytes of text, on average.
+BLOCK_ROWS, BLOCK_BYTES = 5_000, 16 << 20
 CELL = "block int, bucket int, n int, width int, names binary"
 REPLY = "block int, bucket int, hits binary"
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
-    """(block, id, text): text packed; block b holds only ids below those of block b + 1. Partitioned by block."""
-    n = blocks or count(docs)
+class Dealt:
+    """Dealt documents: df (block, id, text), text packed, partitioned by block; order: of each block, see common.order_of."""
+
+    def __init__(self, df: DataFrame, order: np.ndarray):
+        self.df, self.order = df, order
+
+
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> Dealt:
+    """All documents; a block of smaller order holds smaller ids only."""
+    n = blocks or count(docs, text_col)
     bounds = common.id_bounds(docs, n, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for ids, texts, _ in common.slices(batches):
-            block = np.searchsorted(bounds, ids).astype(np.int32)
+            block = common.spread(bounds, ids, np.array([zlib.crc32(t) for t in texts], np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids), pa.array([press.compress(t) for t in texts], pa.binary())], names=["block", "id", "text"])
 
-    return common.keyed(docs, id_col, text_col).mapInArrow(run, "block int, id long, text binary").repartition(n, "block")
+    return Dealt(common.keyed(docs, id_col, text_col).mapInArrow(run, "block int, id long, text binary").repartition(n, "block"), common.order_of(bounds))
 
 
-def count(docs: DataFrame, a_block: int = BLOCK_ROWS) -> int:
+def count(docs: DataFrame, text_col: str = "text") -> int:
     """How many blocks: as many as there are shuffle partitions, more if those would be large."""
-    return max(common.default_parts(docs.sparkSession), -(-docs.count() // a_block))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
+    return max(common.default_parts(docs.sparkSession), -(-size.rows // BLOCK_ROWS), -(-(size.bytes or 0) // BLOCK_BYTES))
 
 
 def bucket_bits(n_blocks: int) -> int:
@@ -78,8 +88,8 @@ def cells(block: int, names: np.ndarray, width: int, bits: int = 6) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "n", "width", "names"])
 
 
-def replies(sent: DataFrame, first_free: bool) -> DataFrame:
-    """REPLY of all cells: a bit a name, set where another block holds it too (first_free: where an earlier block does)."""
+def replies(sent: DataFrame, order_of: np.ndarray | None = None) -> DataFrame:
+    """REPLY of all cells: a bit a name, set where another block holds it too (order_of: where a block of smaller order does)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -97,9 +107,13 @@ def replies(sent: DataFrame, first_free: bool) -> DataFrame:
             order = np.argsort(flat, kind="stable")  # blocks ascend within a name
             same = flat[order][1:] == flat[order][:-1]
             hit = np.zeros(len(flat), bool)
-            hit[order[1:]] = same
-            if not first_free:
+            if order_of is None:
+                hit[order[1:]] = same
                 hit[order[:-1]] |= same
+            elif same.any():
+                new = np.concatenate([[True], ~same])
+                rank = np.repeat(order_of[[r[0] for r in held]], [r[2] for r in held])[order]
+                hit[order] = rank > rank[new][np.cumsum(new) - 1]
             out = []
             for (block, bucket, n, _, _), end in zip(held, ends.tolist(), strict=True):
                 if (bits := hit[end - n : end]).any():
@@ -130,20 +144,20 @@ def marked(names: np.ndarray, width: int, bucket: list[int], hits: list[bytes],
     return out
 
 
-def each_block(dealt: DataFrame, work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def each_block(dealt: Dealt, work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(block: pa.Table) -> pa.Table:
         common.tidy()
         return pa.Table.from_batches(list(work(block.column("block")[0].as_py(), block)))
 
-    return dealt.groupBy("block").applyInArrow(run, schema)
+    return dealt.df.groupBy("block").applyInArrow(run, schema)
 
 
-def each_block_with(dealt: DataFrame, told: DataFrame, work: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def each_block_with(dealt: Dealt, told: DataFrame, work: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
         common.tidy()
         return pa.Table.from_batches(list(work(block.column("block")[0].as_py(), block, told)))
 
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return dealt.df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

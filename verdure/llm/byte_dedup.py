@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < 2 * PERIOD:
         raise ValueError(f"strings of {2 * PERIOD} bytes at least")
 
-    n = 2 * blocks.count(docs)
+    n = 2 * blocks.count(docs, text_col)
     bits = blocks.bucket_bits(n)
 
     def send_whole(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -224,14 +224,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kept = [k.decode(errors="ignore").encode() if removed[i] else k for i, k in enumerate(kept)]
         yield blocks.result(b.ids, size, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
 
-    def told(sent: DataFrame, kind: int, first_free: bool) -> DataFrame:
-        return blocks.replies(sent, first_free).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
+    def told(sent: DataFrame, kind: int, order: np.ndarray | None) -> DataFrame:
+        return blocks.replies(sent, order).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
 
     dealt = blocks.deal(docs, id_col, text_col, n)
-    known = told(blocks.each_block(dealt, send_whole, blocks.CELL), 0, True)
-    ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, False)
+    known = told(blocks.each_block(dealt, send_whole, blocks.CELL), 0, dealt.order)
+    ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, None)
     known = known.unionByName(ranks)
-    known = known.unionByName(told(blocks.each_block_with(dealt, known, send_windows, blocks.CELL), 2, True))
+    known = known.unionByName(told(blocks.each_block_with(dealt, known, send_windows, blocks.CELL), 2, dealt.order))
     return blocks.each_block_with(dealt, known, finish, SCHEMA.replace("kept binary", "kept string") if as_text else SCHEMA)
 
 

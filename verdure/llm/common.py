@@ -7,12 +7,8 @@ before every other id; repeated rows are rows of their own unless the operator s
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdure.storage import cut, drop_path, fresh, shared_dir, uncut  # noqa: F401
+
 #: Stands for a null id inside the operators.
 NULL_ID = -(2**63)
 #: Bytes of text handled at once inside a task.
@@ -33,42 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own if that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='verdure-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
-    return at.rstrip("/")
-
-
-def fresh(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: later work doesn't recompute it when executors go."""
-    spark = df.sparkSession
-    path = fresh(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def uncut(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing reads it any more."""
-    if path := getattr(df, "_cut_path", None):
-        drop_path(df.sparkSession, path)
-
-
 def default_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,11 +85,29 @@ def hash_share(col, share: float):
 
 
 def id_bounds(docs: DataFrame, n: int, id_col: str = "doc_id") -> np.ndarray:
-    """At most n-1 ascending ids that part the table into n ranges of nearly as many rows. One narrow pass; 8 n bytes reach the driver."""
+    """n-1 ascending ids that part the table into n ranges of nearly as many rows; null ids count as NULL_ID, and an id that fills several ranges is there several times. One narrow pass; 8 n bytes reach the driver."""
     if n < 2:
         return np.empty(0, np.int64)
-    got = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], 20 * n).alias("q")).first()[0]
-    return np.unique(np.asarray(got or [], dtype=np.int64))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    got = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("q")).first()[0]
+    return np.sort(np.asarray(got or [], dtype=np.int64))
+
+
+def spread(bounds: np.ndarray, ids: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The range of each id, 0 to len(bounds), ascending with the ids. An id that stands in bounds m >= 2 times has m - 1 ranges to itself and its rows are dealt over them by salt."""
+    low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, side="right")
+    own = high - low - 1
+    return np.where(own >= 1, low + 1 + salt % np.maximum(own, 1), low).astype(np.int32)
+
+
+def order_of(bounds: np.ndarray) -> np.ndarray:
+    """For each range the first of those that hold the same id: what is of smaller order has smaller ids only, what is of the same has equal ones or is the same range."""
+    out = np.arange(len(bounds) + 1)
+    for v, m in zip(*np.unique(bounds, return_counts=True), strict=True):
+        if m >= 2:
+            p = int(np.searchsorted(bounds, v))
+            out[p + 1 : p + m] = p + 1
+    return out
 
 
 def pyarrow_fs(uri: str):

@@ -1,15 +1,16 @@
 """Operator 2: token ids in binary shards with Elias-Fano document boundaries.
 
-A shard file: header, the ids of its documents one after the other (2 or 4 bytes each, little-endian),
-Elias-Fano of the n+1 boundaries, Elias-Fano of the ascending document ids. select(i) of the boundaries
-gives a document's offset from about 2 + log2(ids / documents) bits a document.
+A shard file: the ids of its documents one after the other (2 or 4 bytes each, little-endian), Elias-Fano of
+the n+1 boundaries, Elias-Fano of the ascending document ids, a footer. select of the boundaries gives a
+document's offset from about 2 + log2(ids / documents) bits a document; the reader takes all offsets from it.
 
 Shards are ranges of document ids (bounds from a narrow pass over the ids), so texts are encoded once,
 their ids cross the network once, packed, and a shard is written as a stream. Executors write under a name
-of their own and rename; only the shards in the written manifest are read.
+of their own and rename; only the shards in the written manifest are read. Rows of one id (or none) that fill
+several ranges are dealt over several shards.
 
 Defined results: a null text is an empty text (its end id alone); null ids come first; repeated rows are
-documents of their own, in the order of their token ids; an empty table gives no rows.
+documents of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,15 @@ from verdure.llm import common
 from verdure.llm.tokens import public_path, tokenizer
 
 MAGIC = b"TOKSHRD1"
-_HEAD = struct.Struct("<8sIIQQQQ")  # magic, bytes an id, rows with a null id, documents, ids, bytes of boundaries, bytes of document ids
+#: Documents read back at once.
+READ_DOCS = 1 << 16
+_FOOT = struct.Struct("<IIQQQQ8s")  # bytes an id, rows with a null id, documents, ids, bytes of boundaries, bytes of document ids, magic
 _EF = struct.Struct("<QQIQ")  # values, first value, low bits, bytes of the high part
 
 
 class EliasFano:
-    """An ascending list of whole numbers: low bits packed, high bits in unary; select(i) by a sampled index."""
+    """An ascending list of whole numbers: low bits packed, high bits in unary. select answers from the packed form: every
+    EVERY-th one's place is marked, and only the stretch from the mark on is looked at."""
 
     EVERY = 256
 
@@ -74,58 +79,91 @@ class EliasFano:
         line = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a]
         return (line.reshape(-1, self.bits).astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the sampled positions of the ones and a short scan."""
-        if not 0 <= i < self.n:
+    def _mark(self) -> tuple[np.ndarray, np.ndarray]:
+        """The byte in which each EVERY-th one stands, and how many ones stand before that byte."""
+        if self._marks is None:
+            wanted = np.arange(0, self.n, self.EVERY)
+            at, seen, before = [], [], 0
+            for k in range(0, len(self.high), 1 << 20):
+                ends = before + np.cumsum(np.bitwise_count(self.high[k : k + (1 << 20)]), dtype=np.int64)
+                some = wanted[(wanted >= before) & (wanted < ends[-1])] if len(ends) else wanted[:0]
+                byte = np.searchsorted(ends, some, side="right")
+                at.append(k + byte)
+                seen.append(np.where(byte > 0, ends[byte - 1], before))
+                before = int(ends[-1]) if len(ends) else before
+            self._marks = tuple(np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (at, seen))
+        return self._marks
+
+    def select(self, i: int, to: int | None = None) -> int | np.ndarray:
+        """The i-th value; with `to`, the values from the i-th up to it."""
+        hi = i + 1 if to is None else to
+        if not 0 <= i <= hi <= self.n or (to is None and i == self.n):
             raise IndexError(i)
-        counts = np.bitwise_count(self.high)
-        if self._marks is None:  # byte in which each EVERY-th one stands, and the ones before that byte
-            before = np.concatenate([[0], np.cumsum(counts)])
-            at = np.searchsorted(before, np.arange(0, self.n, self.EVERY), side="right") - 1
-            self._marks = at, before[at]
-        byte, seen = (int(x[i // self.EVERY]) for x in self._marks)
-        while seen + int(counts[byte]) <= i:
-            seen += int(counts[byte])
-            byte += 1
-        one = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[i - seen])
-        return self.first + ((one - i << self.bits) | int(self._low(i, i + 1)[0]))
+        if i == hi:
+            return np.empty(0, np.int64)
+        at, seen = self._mark()
+        byte, last = int(at[i // self.EVERY]), (hi - 1) // self.EVERY + 1
+        end = int(at[last]) + 1 if last < len(at) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little"))[i - int(seen[i // self.EVERY]) :][: hi - i] + 8 * byte
+        v = ((ones - np.arange(i, hi)).astype(np.uint64) << np.uint64(self.bits)) | self._low(i, hi)
+        v = (v + np.uint64(self.first % 2**64)).view(np.int64)
+        return int(v[0]) if to is None else v
+
+    def rank(self, value: int) -> int:
+        """How many values are smaller than or equal to this one, by select."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.select(mid) <= value else (lo, mid)
+        return lo
 
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        v = ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits)) | self._low(0, self.n)
-        return (v + np.uint64(self.first % 2**64)).view(np.int64)
+        return self.select(0, self.n)
 
 
-def write_shard(out, doc_ids: np.ndarray, lengths: np.ndarray, chunks: Iterator[bytes], width: int) -> int:
-    """Write one shard to a stream; returns its size."""
-    nulls = int((doc_ids == common.NULL_ID).sum())
-    ends = EliasFano.of(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)).to_bytes()
-    names = EliasFano.of(doc_ids[nulls:]).to_bytes()
-    out.write(_HEAD.pack(MAGIC, width, nulls, len(doc_ids), int(lengths.sum()), len(ends), len(names)) + ends + names)
-    size = _HEAD.size + len(ends) + len(names)
-    for x in chunks:
-        out.write(x)
-        size += len(x)
-    return size
+class ShardWriter:
+    """Writes a shard to a stream: ids go out as they come, the boundaries and names follow in the end."""
+
+    def __init__(self, out, width: int):
+        self.out, self.width, self.names, self.lens, self.size = out, width, array("q"), array("q"), 0
+
+    def add(self, doc_id: int, ids: bytes) -> None:
+        """Documents come in ascending order of their ids."""
+        self.out.write(ids)
+        self.names.append(doc_id)
+        self.lens.append(len(ids) // self.width)
+        self.size += len(ids)
+
+    def close(self) -> tuple[int, int, int]:
+        """(documents, ids, bytes)."""
+        names, lens = (np.frombuffer(x, np.int64) for x in (self.names, self.lens))
+        nulls, n_ids = int((names == common.NULL_ID).sum()), self.size // self.width
+        ends = EliasFano.of(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)).to_bytes()
+        named = EliasFano.of(names[nulls:]).to_bytes()
+        self.out.write(ends + named + _FOOT.pack(self.width, nulls, len(names), n_ids, len(ends), len(named), MAGIC))
+        self.out.close()
+        return len(names), n_ids, self.size + len(ends) + len(named) + _FOOT.size
 
 
 class Shard:
-    """A shard file opened for reading: boundaries and names in memory, ids read where they are asked for."""
+    """A shard file opened for reading: packed boundaries and names in memory, ids read where they are asked for."""
 
     def __init__(self, file):
-        self.file = file
-        magic, self.width, self.nulls, self.n, self.n_ids, a, b = _HEAD.unpack(file.read_at(_HEAD.size, 0))
+        self.file, size = file, file.size()
+        self.width, self.nulls, self.n, self.n_ids, a, b, magic = _FOOT.unpack(file.read_at(_FOOT.size, size - _FOOT.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        both = bytes(file.read_at(a + b, _HEAD.size))
-        self.ends, self.names, self.base = EliasFano.from_bytes(both[:a]), EliasFano.from_bytes(both[a:]), _HEAD.size + a + b
+        both = bytes(file.read_at(a + b, size - _FOOT.size - a - b))
+        self.ends, self.names = EliasFano.from_bytes(both[:a]), EliasFano.from_bytes(both[a:])
 
-    def doc_ids(self) -> np.ndarray:
-        return np.concatenate([np.full(self.nulls, common.NULL_ID), self.names.all()])
+    def doc_ids(self, lo: int, hi: int) -> np.ndarray:
+        """Ids of documents lo to hi."""
+        nulls = max(0, min(hi, self.nulls) - lo)
+        return np.concatenate([np.full(nulls, common.NULL_ID), self.names.select(max(0, lo + nulls - self.nulls), hi - self.nulls) if hi > self.nulls else np.empty(0, np.int64)])
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
         """Ids of the shard from place lo to hi."""
-        return np.frombuffer(self.file.read_at((hi - lo) * self.width, self.base + lo * self.width), f"<u{self.width}")
+        return np.frombuffer(self.file.read_at((hi - lo) * self.width, lo * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.ends.select(i), self.ends.select(i + 1))
@@ -144,39 +182,35 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str | None = None
             ids = np.insert(ids, np.cumsum(count), end_id).astype(f"<u{tok.dtype().itemsize}")
             ends = np.cumsum(count + 1)
             cells = [press.compress(ids[a:b]) for a, b in zip((ends - count - 1).tolist(), ends.tolist(), strict=True)]
-            shard = np.searchsorted(bounds, doc_ids).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(doc_ids), pa.array(count + 1), pa.array(cells, pa.binary())], names=["shard", "id", "n", "ids"])
+            shard = common.spread(bounds, doc_ids, np.array([zlib.crc32(c) for c in cells], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(doc_ids), pa.array(cells, pa.binary())], names=["shard", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file or public_path("word_bpe_49k.json"))
         unpress = zstandard.ZstdDecompressor()
         fs, root = common.pyarrow_fs(folder)
-        now, rows, cells = None, [], []
+        manifest = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
+        now = writer = None
 
-        def flush():
-            doc_ids, lens = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            fs.create_dir(root, recursive=True)
+        def close() -> pa.RecordBatch:
+            n, n_ids, size = writer.close()
             path = f"{root}/shard-{now:08d}.tok"
-            with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as out:
-                size = write_shard(out, doc_ids, lens, map(unpress.decompress, cells), tok.dtype().itemsize)
             fs.move(part, path)
-            out = pa.RecordBatch.from_pylist([{"shard": now, "path": path, "n_docs": len(lens), "n_tokens": int(lens.sum()), "bytes": size}], schema=manifest)
-            rows.clear()
-            cells.clear()
-            return out
+            return pa.RecordBatch.from_pylist([{"shard": now, "path": path, "n_docs": n, "n_tokens": n_ids, "bytes": size}], schema=manifest)
 
-        manifest = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
         for batch in batches:
-            for shard, doc_id, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if shard != now and rows:
-                    yield flush()
-                now = shard
-                rows.append((doc_id, n))
-                cells.append(ids)
-        if rows:
-            yield flush()
-
-    wide = common.keyed(docs, id_col, text_col, binary=False).mapInArrow(encode, "shard int, id long, n long, ids binary")
+            for shard, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if shard != now:
+                    if writer:
+                        yield close()
+                    fs.create_dir(root, recursive=True)
+                    now, part = shard, f"{root}/part-{uuid.uuid4().hex}"
+                    writer = ShardWriter(fs.open_output_stream(part), tok.dtype().itemsize)
+                writer.add(doc_id, unpress.decompress(ids))
+        if writer:
+            yield close()
+
+    wide = common.keyed(docs, id_col, text_col, binary=False).mapInArrow(encode, "shard int, id long, ids binary")
     placed = wide.repartition(max(len(bounds) + 1, 1), "shard").sortWithinPartitions("shard", "id", "ids")
     manifest = common.cut(placed.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, bytes long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,15 +226,15 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(path) as file:
                     shard = Shard(file)
-                    ends, names = shard.ends.all(), shard.doc_ids()
                     lo = 0
-                    while lo < shard.n:  # about a million ids at a time
-                        hi = min(shard.n, max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), side="right")) - 1))
-                        wide = memoryview(shard.ids(int(ends[lo]), int(ends[hi])).astype("<u4").view(np.uint8))
-                        at = (4 * (ends[lo : hi + 1] - ends[lo])).tolist()
+                    while lo < shard.n:  # about a million ids at a time, and no more documents than that
+                        hi = min(shard.n, lo + READ_DOCS, max(lo + 1, shard.ends.rank(shard.ends.select(lo) + (1 << 20)) - 1))
+                        ends = shard.ends.select(lo, hi + 1)
+                        wide = memoryview(shard.ids(int(ends[0]), int(ends[-1])).astype("<u4").view(np.uint8))
+                        at = (4 * (ends - ends[0])).tolist()
                         crc = [zlib.crc32(wide[a:b]) for a, b in zip(at, at[1:], strict=False)]
-                        d = names[lo:hi]
-                        yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == common.NULL_ID), pa.array(base + ends[lo:hi]), pa.array(np.diff(ends[lo : hi + 1])), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        d = shard.doc_ids(lo, hi)
+                        yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == common.NULL_ID), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         lo = hi
 
     n = common.default_parts(manifest.sparkSession)

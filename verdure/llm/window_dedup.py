@@ -87,9 +87,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             kept.append(b" ".join(left))
         yield blocks.result(ids, counts, removed, _spans(gone, starts, counts), kept, text=True)
 
-    n = blocks.count(docs)
+    n = blocks.count(docs, text_col)
     bits, dealt = blocks.bucket_bits(n), blocks.deal(docs, id_col, text_col, n)
-    told = blocks.replies(blocks.each_block(dealt, send, blocks.CELL), first_free=True)
+    told = blocks.replies(blocks.each_block(dealt, send, blocks.CELL), dealt.order)
     return blocks.each_block_with(dealt, told, finish, SCHEMA)
 
 
