@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences: five stages, each by one operator of verdure.llm.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever those are besides doc_id,
+text and n_chars: a row travels as one struct, so its names can't clash with those used inside. In all stages a null text is an
+empty text, an id may be null or stand in several rows without linking them, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,50 +17,50 @@ from verdure.llm.components import components
 ORACLE_SQL = None
 
 
-def _id(name: str = "doc_id"):
-    return F.coalesce(F.col(name).cast("long"), F.lit(common.NULL_ID))
+def _rows(docs: DataFrame) -> DataFrame:
+    """(r, id, text): each row as it is, and its id and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")).select("r", F.coalesce(F.col("r.doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.col("r.text").cast("string").alias("text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects; null and empty texts are rejected (too few words), repeated rows are judged each."""
     return quality_rules.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of linked fingerprints: of those with the smallest id, the one with the smallest fingerprint. An id links nothing, whether null or met twice."""
-    rows = docs.withColumn("row", F.struct(_id().alias("id"), simhash.fingerprint_of("text").alias("fp")))
-    marks = common.cut(rows.select("row.id", "row.fp"), "fingerprints")
+    """One row of each component of linked fingerprints: of those with the smallest id (null is smallest), the one with the smallest fingerprint; of equal ones any.
+
+    Texts without words have fingerprint 0 and are one group. An id links nothing, whether null or met twice.
+    """
+    rows = _rows(docs).select("r", "id", simhash.fingerprint_of("text").alias("fp"))
+    marks = common.cut(rows.select("id", "fp"), "fingerprints")
     entries = marks.groupBy("fp").agg(F.min("id").alias("id"))
     roots = components(simhash.links(entries.select("fp", F.col("fp").alias("node"))))
     group = F.coalesce("root", "fp")
-    stay = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group).agg(F.min(F.struct("id", "fp")).alias("row")).select("row")
-    return rows.join(stay, "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
-
-
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a key of each row's own in place of doc_id, in order of the ids, null first; `was` is the id. Written, so that keys stay what they are."""
-    rows = docs.withColumnRenamed("doc_id", "was")
-    n = common.default_parts(spark)
-    return common.cut(rows.repartitionByRange(n, "was", F.xxhash64("text")).sortWithinPartitions("was", F.xxhash64("text")).withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+    stay = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group).agg(F.min(F.struct("id", "fp")).alias("k")).select("k")
+    return rows.withColumn("k", F.struct("id", "fp")).join(stay, "k", "left_semi").dropDuplicates(["k"]).select("r.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 50-byte strings that start in an earlier one; n_chars counts what is left."""
-    rows = _keyed(spark, docs)
-    left = byte_dedup.remove_repeats(rows, as_text=True).select(F.col("id").alias("doc_id"), "kept")
-    kept = rows.drop("text", "n_chars").join(left, "doc_id").withColumns({"doc_id": F.col("was"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
-    return kept.select(docs.columns)
+    """All documents, without the 50-byte strings that start in an earlier one (ids ascending, null first; of equal ids the text of the smaller hash); n_chars counts what is left."""
+    n = common.default_parts(spark)
+    order = ["id", F.xxhash64("text")]
+    rows = common.cut(_rows(docs).repartitionByRange(n, *order).sortWithinPartitions(*order).select("r", F.col("text").alias("t"), F.monotonically_increasing_id().alias("k")), "keyed")
+    left = byte_dedup.remove_repeats(rows, id_col="k", text_col="t", as_text=True).select(F.col("id").alias("k"), F.col("kept").alias("t"))
+    kept = rows.select("k", "r").join(left, "k")
+    new = {"text": F.col("t"), "n_chars": F.length("t").cast("long")}
+    return kept.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found. Rows go by a name of id and text, so that a leak takes no other text of its id."""
-    rows = docs.withColumn("row", F.xxhash64(_id(), F.coalesce("text", F.lit(""))))
-    found = decontaminate.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("id").alias("row")).distinct()
-    return rows.join(found, "row", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item was found; repeated rows go or stay together. Rows go by a name of id and text, so that a leak takes no other text of its id."""
+    rows = _rows(docs).withColumn("k", F.xxhash64("id", F.coalesce("text", F.lit(""))))
+    found = decontaminate.leaks(rows.select("k", "text"), common.table(spark, sf_dir, "benchmark"), id_col="k").select(F.col("id").alias("k")).distinct()
+    return rows.join(found, "k", "left_anti").select("r.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences; an empty text is packed as its end token."""
     return packing.pack(docs)
 
 
