@@ -31,11 +31,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: later work doesn't recompute it when executors go."""
+def cut(df: DataFrame, what: str = "cut", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder (a folder for each value of `by`) and read it again: later work doesn't recompute it when executors go."""
     spark = df.sparkSession
     path = fresh(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(by) if by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
