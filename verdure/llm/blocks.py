@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import common
@@ -33,18 +33,20 @@ class Dealt:
         self.df, self.order = df, order
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> Dealt:
-    """All documents; a block of smaller order holds smaller ids only."""
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, carry: Column | None = None) -> Dealt:
+    """All documents; a block of smaller order holds smaller ids only. carry: a column that goes along with each."""
     n = blocks or count(docs, text_col)
     bounds = common.id_bounds(docs, n, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for ids, texts, _ in common.slices(batches):
+        for ids, texts, part in common.slices(batches):
             block = common.spread(bounds, ids, np.array([zlib.crc32(t) for t in texts], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids), pa.array([press.compress(t) for t in texts], pa.binary())], names=["block", "id", "text"])
+            more = part.columns[2:]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids), pa.array([press.compress(t) for t in texts], pa.binary()), *more], names=["block", "id", "text", "carry"][: 3 + len(more)])
 
-    return Dealt(common.keyed(docs, id_col, text_col).mapInArrow(run, "block int, id long, text binary").repartition(n, "block"), common.order_of(bounds))
+    rows = common.keyed(docs, id_col, text_col, carry=carry)
+    return Dealt(rows.mapInArrow(run, common.with_carry("block int, id long, text binary", rows)).repartition(n, "block"), common.order_of(bounds))
 
 
 def count(docs: DataFrame, text_col: str = "text") -> int:

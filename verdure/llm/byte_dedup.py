@@ -26,7 +26,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm import blocks, common
@@ -169,8 +169,8 @@ class _Block:
             lo += len(at)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """SCHEMA: number of bytes, of bytes removed, the spans removed and the bytes kept, of every document. as_text: kept is a string, without characters of which only a part is left."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, carry: Column | None = None) -> DataFrame:
+    """SCHEMA: number of bytes, of bytes removed, the spans removed and the bytes kept, of every document. as_text: kept is a string, without characters of which only a part is left. carry: a column of docs that comes out beside, as carry."""
     if length < 2 * PERIOD:
         raise ValueError(f"strings of {2 * PERIOD} bytes at least")
 
@@ -222,17 +222,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         cols = np.array(spans, np.int64).reshape(-1, 3)
         if as_text:
             kept = [k.decode(errors="ignore").encode() if removed[i] else k for i, k in enumerate(kept)]
-        yield blocks.result(b.ids, size, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
+        out = blocks.result(b.ids, size, removed, (cols[:, 0], cols[:, 1], cols[:, 2]), kept, text=as_text)
+        if "carry" in table.schema.names:
+            out = out.append_column("carry", table.column("carry").combine_chunks().take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable"))))
+        yield out
 
     def told(sent: DataFrame, kind: int, order: np.ndarray | None) -> DataFrame:
         return blocks.replies(sent, order).select("block", F.lit(kind).alias("kind"), "bucket", "hits")
 
-    dealt = blocks.deal(docs, id_col, text_col, n)
+    dealt = blocks.deal(docs, id_col, text_col, n, carry)
     known = told(blocks.each_block(dealt, send_whole, blocks.CELL), 0, dealt.order)
     ranks = told(blocks.each_block_with(dealt, known, send_samples, blocks.CELL), 1, None)
     known = known.unionByName(ranks)
     known = known.unionByName(told(blocks.each_block_with(dealt, known, send_windows, blocks.CELL), 2, dealt.order))
-    return blocks.each_block_with(dealt, known, finish, SCHEMA.replace("kept binary", "kept string") if as_text else SCHEMA)
+    return blocks.each_block_with(dealt, known, finish, common.with_carry(SCHEMA.replace("kept binary", "kept string") if as_text else SCHEMA, dealt.df))
 
 
 def op3_suffix_array(spark, sf_dir):

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdure.storage import cut, drop_path, fresh, shared_dir, uncut  # noqa: F401
 
@@ -50,11 +51,16 @@ def tidy() -> None:
         trim(0)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = True) -> DataFrame:
-    """Columns id (long, NULL_ID for null) and text (bytes or string, empty for null)."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = True, carry: Column | None = None) -> DataFrame:
+    """Columns id (long, NULL_ID for null), text (bytes or string, empty for null) and, if given, carry."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (text.cast("binary") if binary else text).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (text.cast("binary") if binary else text).alias("text"), *([] if carry is None else [carry.alias("carry")]))
+
+
+def with_carry(schema: str, df: DataFrame) -> T.StructType:
+    """A schema with the carry column of df, if it has one, at its end."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, *(f for f in df.schema if f.name == "carry")])
 
 
 def real_id(name: str = "id", alias: str = "doc_id"):
