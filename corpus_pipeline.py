@@ -32,24 +32,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words have fingerprint 0 and are one group. An id links nothing, whether null or met twice.
     """
-    rows = _rows(docs).select("r", "id", simhash.fingerprint_of("text").alias("fp"))
-    marks = common.cut(rows.select("id", "fp"), "fingerprints")
-    entries = marks.groupBy("fp").agg(F.min("id").alias("id"))
+    rows = common.cut(_rows(docs).select("r", "id", simhash.fingerprint_of("text").alias("fp"), F.monotonically_increasing_id().alias("k")), "fingerprints")
+    entries = rows.groupBy("fp").agg(F.min(F.struct("id", "k")).alias("first"))
     roots = components(simhash.links(entries.select("fp", F.col("fp").alias("node"))))
     group = F.coalesce("root", "fp")
-    stay = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group).agg(F.min(F.struct("id", "fp")).alias("k")).select("k")
-    return rows.withColumn("k", F.struct("id", "fp")).join(stay, "k", "left_semi").dropDuplicates(["k"]).select("r.*")
+    stay = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group).agg(F.min(F.struct("first.id", "fp", "first.k")).alias("x")).select("x.k")
+    return rows.join(stay, "k", "left_semi").select("r.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 50-byte strings that start in an earlier one (ids ascending, null first; of equal ids the text of the smaller hash); n_chars counts what is left."""
-    n = common.default_parts(spark)
-    order = ["id", F.xxhash64("text")]
-    rows = common.cut(_rows(docs).repartitionByRange(n, *order).sortWithinPartitions(*order).select("r", F.col("text").alias("t"), F.monotonically_increasing_id().alias("k")), "keyed")
-    left = byte_dedup.remove_repeats(rows, id_col="k", text_col="t", as_text=True).select(F.col("id").alias("k"), F.col("kept").alias("t"))
-    kept = rows.select("k", "r").join(left, "k")
-    new = {"text": F.col("t"), "n_chars": F.length("t").cast("long")}
-    return kept.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
+    """All documents, without the 50-byte strings that start under a smaller id (null is smallest; equal ids take nothing from each other); n_chars counts what is left."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")])  # goes along, and the text comes back
+    left = byte_dedup.remove_repeats(docs, as_text=True, carry=rest)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[new[c].alias(c) if c in new else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
