@@ -156,10 +156,10 @@ def _(spark, sf):
     return matrix.study_max_log(f, 349).select("sample_id", "study_id", r(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("sample_vectors", f"WITH {DENSE} SELECT sample_id, list(value ORDER BY gene_id)[1:3]::VARCHAR IS NOT NULL AS there, round(list_sum(list(value ORDER BY gene_id)[1:8]), 5) AS head FROM e GROUP BY 1")
+@query("sample_vectors", f"WITH {DENSE} SELECT sample_id, list(value ORDER BY gene_id)[1:3]::VARCHAR IS NOT NULL AS there, round(list_sum(list_transform(list_zip(list(value ORDER BY gene_id), range(count(*))), lambda z: z[1] * (z[2] + 1))), 5) AS head FROM e GROUP BY 1")
 def _(spark, sf):
     v = matrix.to_vectors(dense(spark, sf))
-    return v.select("sample_id", F.col("values").isNotNull().alias("there"), r(F.aggregate(F.slice("values", 1, 8), F.lit(0.0), lambda a, x: a + x), 5).alias("head"))
+    return v.select("sample_id", F.col("values").isNotNull().alias("there"), r(F.aggregate(F.transform("values", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("head"))
 
 
 # --- windows ---

@@ -30,9 +30,9 @@ def _(spark, sf):
     return distance.density(dense(spark, sf), -3.0, 3.0, 20).withColumn("density", r("density"))
 
 
-@query("sample_spearman", f"WITH {DENSE}, r AS (SELECT gene_id, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0 AS r FROM e WHERE sample_id < 60) SELECT x.sample_id AS a, y.sample_id AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.gene_id = y.gene_id AND x.sample_id < y.sample_id GROUP BY 1, 2")
+@query("sample_spearman", f"WITH {DENSE}, r AS (SELECT gene_id, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0 AS r FROM e) SELECT x.sample_id AS a, y.sample_id AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.gene_id = y.gene_id AND x.sample_id < y.sample_id GROUP BY 1, 2")
 def _(spark, sf):
-    return distance.sample_spearman(dense(spark, sf).where("sample_id < 60")).withColumn("rho", r("rho"))
+    return distance.sample_spearman(dense(spark, sf)).withColumn("rho", r("rho"))
 
 
 @query("masked_cells")
@@ -128,9 +128,9 @@ def _(spark, sf):
     return t(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == F.col("toxic"), "same").when(F.col("quality") == 1, "quality_only").otherwise("toxic_only").alias("kind"))
 
 
-@query("set_jaccard_rows", "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(text, ' ')[1:12]) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(string_split(text, ' ')[1:12]) AS w FROM documents) b ON b.doc_id = a.doc_id + 1")
+@query("set_jaccard_rows", "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents) a JOIN (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents) b ON b.doc_id = a.doc_id + 1")
 def _(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.slice(F.split("text", " "), 1, 12)).alias("w"))
+    d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
     return d.toDF("a", "x").join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("y")), "a").select("a", "b", r(text.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
 
 

@@ -89,7 +89,7 @@ def _(spark, sf):
 
 @query("gsea_prerank")
 def _(spark, sf):
-    return enrich.running_sum(ranked(spark, sf), members(spark, sf), permutations=200).select("term", "n_hits", r("es", 8).alias("es"), r("nes").alias("nes"), r("p").alias("p"))
+    return enrich.running_sum(ranked(spark, sf), members(spark, sf), permutations=1000).select("term", "n_hits", r("es", 8).alias("es"), r("nes").alias("nes"), r("p").alias("p"))
 
 
 @query("ora_counts", "SELECT p_type AS term, count_if(p_size > 40) AS k, count(*) AS n_set, (SELECT count(*) FROM part WHERE p_size > 40) AS n_drawn, (SELECT count(*) FROM part) AS n_all FROM part GROUP BY 1")
@@ -124,11 +124,11 @@ def _(spark, sf):
     return enrich.propagate(a, tree(spark, sf))
 
 
-@query("term_proxy_lookup", f"{CLOSURE}, d AS (SELECT ancestor AS root, p_partkey AS go_id, p_retailprice / 10000 AS fdr, p_partkey <> ancestor AS proxy FROM up JOIN part ON p_partkey = node WHERE p_partkey % 3 = 0 AND ancestor BETWEEN 1 AND 40) SELECT root, go_id, proxy FROM d QUALIFY row_number() OVER (PARTITION BY root ORDER BY proxy, fdr, go_id) = 1")
+@query("term_proxy_lookup", f"{CLOSURE}, d AS (SELECT ancestor AS root, p_partkey AS go_id, p_retailprice / 10000 AS fdr, p_partkey <> ancestor AS proxy FROM up JOIN part ON p_partkey = node WHERE p_size > 16 AND ancestor IN (SELECT p_partkey FROM part)) SELECT root, go_id, proxy FROM d QUALIFY row_number() OVER (PARTITION BY root ORDER BY proxy, fdr, go_id) = 1")
 def _(spark, sf):
     p = t(spark, sf, "part")
-    terms = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("go_id"), (F.col("p_retailprice") / 10000).alias("fdr"))
-    return enrich.best_proxy(terms, tree(spark, sf), p.where("p_partkey BETWEEN 1 AND 40").select(F.col("p_partkey").alias("go_id"))).select("root", "go_id", "proxy")
+    terms = p.where("p_size > 16").select(F.col("p_partkey").alias("go_id"), (F.col("p_retailprice") / 10000).alias("fdr"))
+    return enrich.best_proxy(terms, tree(spark, sf), p.select(F.col("p_partkey").alias("go_id"))).select("root", "go_id", "proxy")
 
 
 @query("recovery_table", """WITH p AS (SELECT p_type AS norm, p_partkey % 200 AS go_id, p_retailprice / 10000 AS fdr, p_size - 25.0 AS nes FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_partkey % 200 ORDER BY p_partkey) = 1),
@@ -185,7 +185,7 @@ def _(spark, sf):
     return distance.pooled(labelled_pairs(spark, sf), F.col("la") == F.col("lb")).select(r("pooled", 8).alias("pooled"))
 
 
-@query("distance_spearman")
+@query("distance_spearman", f"WITH {PAIRS}, s AS (SELECT d, (la = lb)::INT AS s FROM p), k AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS x, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS y FROM s) SELECT round(corr(x, y), 6) AS spearman FROM k")
 def _(spark, sf):
     return distance.spearman(labelled_pairs(spark, sf), "distance", "similarity").select(r("spearman").alias("spearman"))
 
@@ -246,12 +246,11 @@ def _(spark, sf):
     return with_scalar(s, s.agg(F.avg("g").alias("m"))).select("axis", r(0.5 * F.col("g") / F.col("m") + 0.5, 8).alias("weight"))
 
 
-@query("label_similarity", "WITH p AS (SELECT a.p_partkey a, b.p_partkey b, (a.p_type = b.p_type)::INT * 2.0 + (a.p_brand = b.p_brand)::INT * 1.0 AS s FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT a, b, round(s / 3.0, 8) AS similarity FROM p WHERE s > 0")
+@query("label_similarity", "SELECT a, b, round(s / 3.0, 8) AS similarity FROM (SELECT a.p_partkey a, b.p_partkey b, (a.p_type = b.p_type)::INT * 2.0 + (a.p_brand = b.p_brand)::INT * 1.0 AS s FROM part a JOIN part b ON a.p_partkey < b.p_partkey) WHERE s > 0")
 def _(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    x, y = p.toDF("a", "ta", "ba", "p_size"), p.toDF("b", "tb", "bb", "p_size")
-    s = (F.col("ta") == F.col("tb")).cast("int") * 2.0 + (F.col("ba") == F.col("bb")).cast("int") * 1.0
-    return x.join(y, "p_size").where("a < b").withColumn("s", s).where("s > 0").select("a", "b", r(F.col("s") / 3.0, 8).alias("similarity"))
+    p = t(spark, sf, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    s = distance.pairs(p, "p_partkey").withColumn("similarity", distance.label_similarity("a", "b", {"type": 2.0, "brand": 1.0})).where("similarity > 0")
+    return s.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r("similarity", 8).alias("similarity"))
 
 
 @query("label_candidates", "WITH a AS (SELECT o_orderkey k FROM orders ORDER BY o_totalprice DESC, k LIMIT 10), b AS (SELECT o_orderkey k FROM orders ORDER BY o_totalprice, k LIMIT 10), c AS (SELECT o_orderkey k FROM orders ORDER BY o_orderdate DESC, k LIMIT 10) SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM c")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,3 +185,32 @@ def required(df: DataFrame, *columns: str) -> DataFrame:
 def first_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def capped(m: DataFrame, genes: int, samples: tuple[str, ...]) -> DataFrame:
+    """The first `genes` genes by name, of the named samples: for a look at a large matrix."""
+    few = m.select("gene_id").distinct().orderBy("gene_id").limit(genes)
+    return m.where(F.col("sample_id").isin(*samples)).join(few, "gene_id", "left_semi")
+
+
+def curated(spark: SparkSession, path: str, source: str = "GEO", species: str = "Arabidopsis thaliana") -> DataFrame:
+    """(accession) of a curated list's rows of one depository and species."""
+    return spark.read.csv(path, header=True).where((F.col("depository_source") == source) & (F.col("species") == species)).select("accession")
+
+
+def results(spark: SparkSession, paths: dict[str, str], columns: tuple[str, ...], name: str) -> DataFrame:
+    """Result tables in one, with the name each goes by; those that are absent or lack a column are passed over with a warning."""
+    parts = []
+    for key, path in paths.items():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            warnings.warn(f"{path} is absent", stacklevel=2)
+            continue
+        df = spark.read.parquet(path)
+        if missing := [c for c in columns if c not in df.columns]:
+            warnings.warn(f"{path} has no {', '.join(missing)}", stacklevel=2)
+            continue
+        parts.append(df.select(F.lit(key).alias(name), *columns))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (name, *columns)]))
+    return reduce(DataFrame.unionByName, parts)
