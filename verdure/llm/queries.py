@@ -5,7 +5,9 @@ from __future__ import annotations
 from verdure.llm.attention_lm import op5_lm_scoring
 from verdure.llm.byte_dedup import op3_suffix_array
 from verdure.llm.decontaminate import op8_decontamination
+from verdure.llm.fill_middle import op11_fill_middle
 from verdure.llm.packing import op10_packing
+from verdure.llm.pieces import op12_sentencepiece
 from verdure.llm.quality_model import op6_quality_classifier
 from verdure.llm.quality_rules import OP7_SQL, op7_quality_rules
 from verdure.llm.simhash import op1_simhash
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_quality_rules": OP7_SQL}
