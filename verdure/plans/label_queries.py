@@ -121,6 +121,6 @@ def _(spark, sf):
     return labels.sorted_by(t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "o_orderpriority", ["5-LOW", "1-URGENT"])
 
 
-@query("rna_normalise", f"WITH {LONG}, d AS (SELECT gene_id, sample_id, avg(value) AS value FROM m GROUP BY 1, 2), g AS (SELECT gene_id FROM d, (SELECT count(DISTINCT sample_id) AS k FROM d) GROUP BY 1 HAVING 100 * (1 - count(DISTINCT sample_id) / any_value(k)) <= 75), f AS (SELECT * FROM d WHERE gene_id IN (SELECT gene_id FROM g)), s AS (SELECT sample_id FROM f, (SELECT count(DISTINCT gene_id) AS n FROM f) GROUP BY 1 HAVING 100 * (1 - count(DISTINCT gene_id) / any_value(n)) <= 60) SELECT gene_id, sample_id, round(log2(value + 1), 6) AS value FROM f WHERE sample_id IN (SELECT sample_id FROM s)")
+@query("rna_normalise", f"WITH {LONG}, d AS (SELECT gene_id, sample_id, avg(value) AS value FROM m GROUP BY 1, 2), g AS (SELECT gene_id FROM d, (SELECT count(DISTINCT sample_id) AS k FROM d) GROUP BY 1 HAVING 100 * (1 - count(DISTINCT sample_id) / any_value(k)) <= 75), f AS (SELECT * FROM d WHERE gene_id IN (SELECT gene_id FROM g)), s AS (SELECT sample_id FROM f, (SELECT count(DISTINCT gene_id) AS n FROM f) GROUP BY 1 HAVING 100 * (1 - count(DISTINCT gene_id) / any_value(n)) <= 74) SELECT gene_id, sample_id, round(log2(value + 1), 6) AS value FROM f WHERE sample_id IN (SELECT sample_id FROM s)")
 def _(spark, sf):
-    return matrix.normalise_counts(matrix.combine_duplicates(long(spark, sf)), 75, 60)[1].withColumn("value", r("value"))
+    return matrix.normalise_counts(matrix.combine_duplicates(long(spark, sf)), 75, 74)[1].withColumn("value", r("value"))

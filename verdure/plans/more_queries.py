@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdure.functions import text
 from verdure.operators import distance, enrich, ranks
 from verdure.plans.matrix_queries import DENSE, dense, r
-from verdure.plans.registry import query, t
+from verdure.plans.registry import ORACLE_SQL, QUERIES, query, t
 from verdure.plans.stat_queries import PAIRS, labelled_pairs, vectors
 
 
@@ -144,31 +144,6 @@ def _(spark, sf):
     return spark.createDataFrame([(int((share.cumsum() < 0.9).sum()) + 1,)], "n_needed int")
 
 
-# Whole-table forms of queries whose SQL takes a part of the table; without SQL, held against brute force.
-
-
-@query("set_jaccard_whole")
-def _(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
-    return d.toDF("a", "x").join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("y")), "a").select("a", "b", r(text.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
-
-
-@query("sample_spearman_all")
-def _(spark, sf):
-    return distance.sample_spearman(dense(spark, sf)).withColumn("rho", r("rho"))
-
-
-@query("label_similarity_all")
-def _(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
-    s = distance.pairs(p, "p_partkey").withColumn("similarity", distance.label_similarity("a", "b", {"type": 2.0, "brand": 1.0})).where("similarity > 0")
-    return s.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), r("similarity", 8).alias("similarity"))
-
-
-@query("term_proxy_all")
-def _(spark, sf):
-    from verdure.plans.stat_queries import tree
-
-    p = t(spark, sf, "part")
-    terms = p.where("p_size > 16").select(F.col("p_partkey").alias("go_id"), (F.col("p_retailprice") / 10000).alias("fdr"))
-    return enrich.best_proxy(terms, tree(spark, sf), p.select(F.col("p_partkey").alias("go_id"))).select("root", "go_id", "proxy")
+# Other names of queries over whole tables.
+for new, old in (("set_jaccard_whole", "set_jaccard_rows"), ("sample_spearman_all", "sample_spearman"), ("label_similarity_all", "label_similarity"), ("term_proxy_all", "term_proxy_lookup")):
+    query(new, ORACLE_SQL.get(old))(QUERIES[old])

@@ -228,7 +228,7 @@ def _(spark, sf):
     from verdure.operators.tables import latest
 
     path = fresh(spark, "status")
-    e = t(spark, sf, "events").select(F.col("user_id").alias("study_id"), F.round("value").cast("int").alias("code"), F.struct("ts", "event_id").alias("at"), "event_type")
+    e = t(spark, sf, "events").select(F.col("user_id").alias("study_id"), F.bround("value").cast("int").alias("code"), F.struct("ts", "event_id").alias("at"), "event_type")
     for part in ("event_type IN ('view', 'click')", "event_type NOT IN ('view', 'click')"):
         sinks.append_status(e.where(part), path)
     return latest(spark.read.parquet(path), "study_id", "at").select("study_id", "code")
