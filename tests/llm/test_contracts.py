@@ -25,6 +25,7 @@ COLUMNS = {
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op11_fill_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
     "op12_sentencepiece": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
@@ -66,7 +67,7 @@ def test_sql(got, folder, name):
 def test_rows(got, rows):
     """A row a document where the contract says so; ids, digests and folds by the contract's own words."""
     ids = sorted(map(str, (i for i, _ in rows)))
-    for name in ("op1_simhash", "op2_token_output", "op3_suffix_array", "op5_lm_scoring", "op6_quality_classifier", "op7_quality_rules", "op9_substring_dedup", "op11_fill_middle", "op12_sentencepiece"):
+    for name in ("op1_simhash", "op2_token_output", "op3_suffix_array", "op5_lm_scoring", "op6_quality_classifier", "op7_quality_rules", "op9_substring_dedup", "op11_fill_middle", "op12_sentencepiece", "op13_alignment"):
         assert sorted(str(r.doc_id) for r in got[name][1]) == ids, name
     once = {i: t or "" for i, t in rows if i is not None and sum(i == j for j, _ in rows) == 1}
     tok = whole("word_bpe_49k.json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdure.llm.alignment import op13_alignment
 from verdure.llm.attention_lm import op5_lm_scoring
 from verdure.llm.byte_dedup import op3_suffix_array
 from verdure.llm.decontaminate import op8_decontamination
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_fill_middle": op11_fill_middle,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op7_quality_rules": OP7_SQL}

@@ -18,13 +18,13 @@ _CUT_IN_SPACE = re.compile(r"\s \s|  ")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
-def _letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: visible ones for themselves, the others numbered from 256."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
 
 
-_LETTERS = _letters()
+_LETTERS = byte_letters()
 _ID = attrgetter("id")
 
 
@@ -51,7 +51,8 @@ class WordTokenizer:
     word is normalised and merged by the library's own normaliser and model; the cut between them is the file's pattern.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: a special token's string in a text is plain text."""
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -65,7 +66,8 @@ class WordTokenizer:
         elif pre.get("type") == "Sequence" and model.get("end_of_word_suffix") and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind, pattern = "word", pre["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern) if self.kind != "whole" else None
-        self.special = [a["content"] for a in spec.get("added_tokens") or []]
+        self.special = [] if plain else [a["content"] for a in spec.get("added_tokens") or []]
+        self.tok.encode_special_tokens = plain
         self.normal, self.model = self.tok.normalizer, self.tok.model
         plain = "".join(map(chr, range(33, 127)))
         self.lowers = self.normal is not None and self.normal.normalize_str(plain) == plain.lower()
@@ -142,14 +144,14 @@ class WordTokenizer:
         return self.ids[at], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One a worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+def tokenizer(path: str, plain: bool = False) -> WordTokenizer:
+    """One of a kind a worker process."""
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = WordTokenizer(path, plain)
+    return _LOADED[path, plain]
 
 
 def public_path(name: str) -> str:
