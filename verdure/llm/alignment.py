@@ -144,39 +144,44 @@ class _Block:
 
     def __init__(self, text: bool):
         self.text = text
-        self.ids, self.numbers, self.groups, self.links, self.bytes = [], [], [], [], 0
+        self.ids, self.numbers, self.groups, self.bytes = [], [], [], 0
+        self.pairs, self.links = [], []  # distinct pairs of each slice, and the place there of each of its links
 
     def add(self, ids: np.ndarray, texts: list[str], a: Side, b: Side) -> None:
         parts = [(k, s) for k, t in enumerate(texts) for s in stretches(t)]
-        n, ok = np.zeros((len(texts), 3), np.int64), np.ones(len(texts), bool)
+        n, ok, linked = np.zeros((len(texts), 3), np.int64), np.ones(len(texts), bool), []
         running: list = [None] * len(texts)
-        links: list[list] = [[] for _ in texts]
         at = np.cumsum([len(s) for _, s in parts]) // STRETCH
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(parts)]
         for x, y in zip(edges, edges[1:], strict=False):
-            some = parts[x:y]
-            got = Aligned(a, b, [s for _, s in some])
-            pair = got.a << 32 | got.b
-            ends = np.cumsum(got.n_groups)
-            for i, (k, _) in enumerate(some):
-                ok[k] &= got.ok[i]
-                n[k] += got.n_a[i], got.n_b[i], got.n_groups[i]
-                links[k].append(pair[ends[i] - got.n_groups[i] : ends[i]])
+            got, owner = Aligned(a, b, [s for _, s in parts[x:y]]), np.array([k for k, _ in parts[x:y]], np.int64)
+            np.add.at(n, owner, np.stack([got.n_a, got.n_b, got.n_groups], 1))
+            ok[owner[~got.ok]] = False
+            pairs, place = np.unique(got.a << 32 | got.b, return_inverse=True)
+            linked.append((np.repeat(owner, got.n_groups), pairs, place.astype(np.uint32)))
+            for k, spelled in zip(owner.tolist(), got.spelled, strict=True):
                 if self.text:
-                    running[k] = got.spelled[i] if running[k] is None else running[k] + b";" + got.spelled[i]
+                    running[k] = spelled if running[k] is None else running[k] + b";" + spelled
                 elif running[k] is None:
-                    running[k] = hashlib.sha256(got.spelled[i])
+                    running[k] = hashlib.sha256(spelled)
                 else:
-                    running[k].update(b";" + got.spelled[i])
+                    running[k].update(b";" + spelled)
         n[~ok] = 0
         self.ids.append(ids)
         self.numbers.append(n)
         self.groups += ["" if not good else r.decode() if self.text else r.hexdigest() for good, r in zip(ok.tolist(), running, strict=True)]
-        self.links += [x for good, each in zip(ok.tolist(), links, strict=True) if good for x in each]
+        for owner, pairs, place in linked:  # a text of which one stretch failed has no links
+            self.pairs.append(pairs)
+            self.links.append(place if ok.all() else place[ok[owner]])
         self.bytes += sum(map(len, texts))
 
     def row(self, block: int) -> pa.RecordBatch:
-        pairs, index, times = np.unique(np.concatenate(self.links) if self.links else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+        pairs = np.unique(np.concatenate(self.pairs)) if self.pairs else np.empty(0, np.int64)
+        index = [np.searchsorted(pairs, p).astype(np.uint32)[x] for p, x in zip(self.pairs, self.links, strict=True)]
+        index = np.concatenate(index) if index else np.empty(0, np.uint32)
+        times = np.bincount(index, minlength=len(pairs))
+        if not times.all():
+            index, pairs, times = (np.cumsum(times > 0) - 1)[index], pairs[times > 0], times[times > 0]
         press = zstandard.ZstdCompressor(level=1)
         n = np.concatenate(self.numbers)
         cols = [[block], [np.concatenate(self.ids)], [n[:, 0]], [n[:, 1]], [n[:, 2]], [self.groups], [press.compress(index.astype("<u4").tobytes())], [pairs], [times]]
