@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdure.functions.special import hypergeom_tail
+from verdure.operators import gsea
 from verdure.operators.models import adjust_bh
 from verdure.operators.ranks import first_per, rank_percentile
 from verdure.storage import cut, uncut
@@ -36,36 +36,21 @@ def propagate(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term:
 
 
 def running_sum(ranked: DataFrame, members: DataFrame, gene: str = "gene_id", score: str = "score", term: str = "term", permutations: int = 0, seed: int = 42, smallest: int = 1, largest: int = 1 << 30) -> DataFrame:
-    """(term, n_hits, es[, nes, p]): the largest deviation of the weighted running sum of each set down the ranking (score descending, gene ascending); genes are a dimension sent to tasks, sets are spread."""
-    genes = ranked.select(gene, score).toPandas().sort_values([score, gene], ascending=[False, True])
-    place = {g: i for i, g in enumerate(genes[gene])}
-    weight, n = np.abs(genes[score].to_numpy(float)), len(genes)
-    kind = dict(members.dtypes)[term]
-
-    def es(hit: np.ndarray) -> float:
-        w = weight[hit]
-        total = w.sum() or 1.0
-        k = np.arange(len(hit))
-        gaps = (hit - k) / max(n - len(hit), 1)
-        up = np.cumsum(w) / total
-        high, low = (up - gaps).max(), (up - w / total - gaps).min()
-        return float(high if high >= -low else low)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        hit = np.array(sorted({place[g] for g in pdf[gene] if g in place}), int)
-        row = {"term": pdf[term].iloc[0], "n_hits": len(hit), "es": None, "nes": None, "p": None}
-        if smallest <= len(hit) <= largest and len(hit):
-            row["es"] = es(hit)
-            if permutations:
-                rng = np.random.default_rng([seed, len(hit)])
-                null = np.array([es(np.sort(rng.choice(n, len(hit), replace=False))) for _ in range(permutations)])
-                side = null[(null >= 0) == (row["es"] >= 0)]
-                if len(side):
-                    row["nes"] = row["es"] / abs(side.mean())
-                    row["p"] = max(float((np.abs(side) >= abs(row["es"])).mean()), 1 / permutations)
-        return pd.DataFrame([row])
-
-    return members.select(term, gene).distinct().groupBy(term).applyInPandas(one, f"term {kind}, n_hits long, es double, nes double, p double")
+    """(term, n_hits, es, nes, p): the largest deviation of the weighted running sum of each set down the ranking (score descending, gene ascending), as operators.gsea has it; genes count in upper case.
+    Sets outside the limits, or without a gene in the list, have their number of genes alone; nes and p are null without permutations."""
+    lst = gsea.ranked_list(ranked, gene, score)
+    mine = members.select(F.col(term).alias("term"), F.upper(F.col(gene).cast("string")).alias("gene")).distinct()
+    size = mine.join(lst.select("gene", F.lit(1).alias("_in")), "gene", "left").groupBy("term").agg(F.count("_in").alias("n_hits"))
+    n = lst.count()
+    found = gsea.hits(lst, members, gene, term, max(smallest, 1), largest)
+    es = gsea.enrichment_scores(found, n).select("term", "es")
+    out = size.join(es, "term", "left")
+    if not permutations:
+        return out.select("term", "n_hits", "es", F.lit(None).cast("double").alias("nes"), F.lit(None).cast("double").alias("p"))
+    null = gsea.null_scores(lst, found, n, permutations, seed).select("n_hits", F.abs("es").alias("e"), (F.col("es") >= 0).alias("up"))
+    both = out.withColumn("up", F.col("es") >= 0).join(null, ["n_hits", "up"], "left").groupBy("term", "n_hits", "es")
+    s = both.agg(F.avg("e").alias("mean"), F.avg((F.col("e") >= F.abs("es")).cast("double")).alias("share"))
+    return s.select("term", "n_hits", "es", (F.col("es") / F.col("mean")).alias("nes"), F.when(F.col("share").isNotNull(), F.greatest("share", F.lit(1.0 / permutations))).alias("p"))
 
 
 def overlap_counts(members: DataFrame, background: DataFrame, drawn: DataFrame, term: str = "term", gene: str = "gene_id") -> DataFrame:
