@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.special import hypergeom_tail
@@ -38,16 +38,16 @@ def propagate(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term:
 def running_sum(ranked: DataFrame, members: DataFrame, gene: str = "gene_id", score: str = "score", term: str = "term", permutations: int = 0, seed: int = 42, smallest: int = 1, largest: int = 1 << 30) -> DataFrame:
     """(term, n_hits, es, nes, p): the largest deviation of the weighted running sum of each set down the ranking (score descending, gene ascending), as operators.gsea has it; genes count in upper case.
     Sets outside the limits, or without a gene in the list, have their number of genes alone; nes and p are null without permutations."""
-    lst = gsea.ranked_list(ranked, gene, score)
+    lst = cut(gsea.ranked_list(ranked, gene, score), "ranked")
     mine = members.select(F.col(term).alias("term"), F.upper(F.col(gene).cast("string")).alias("gene")).distinct()
-    size = mine.join(lst.select("gene", F.lit(1).alias("_in")), "gene", "left").groupBy("term").agg(F.count("_in").alias("n_hits"))
     n = lst.count()
-    found = gsea.hits(lst, members, gene, term, max(smallest, 1), largest)
-    es = gsea.enrichment_scores(found, n).select("term", "es")
-    out = size.join(es, "term", "left")
+    found = mine.join(lst, "gene", "left").withColumn("n_hits", F.count("pos").over(Window.partitionBy("term")))
+    inside = F.col("n_hits").between(max(smallest, 1), largest)
+    out = gsea.enrichment_scores(found, n).select("term", "n_hits", F.when(inside, F.col("es")).alias("es"))
     if not permutations:
         return out.select("term", "n_hits", "es", F.lit(None).cast("double").alias("nes"), F.lit(None).cast("double").alias("p"))
-    null = gsea.null_scores(lst, found, n, permutations, seed).select("n_hits", F.abs("es").alias("e"), (F.col("es") >= 0).alias("up"))
+    out = cut(out, "scores")
+    null = gsea.null_scores(lst, out.where(inside), n, permutations, seed).select("n_hits", F.abs("es").alias("e"), (F.col("es") >= 0).alias("up"))
     both = out.withColumn("up", F.col("es") >= 0).join(null, ["n_hits", "up"], "left").groupBy("term", "n_hits", "es")
     s = both.agg(F.avg("e").alias("mean"), F.avg((F.col("e") >= F.abs("es")).cast("double")).alias("share"))
     return s.select("term", "n_hits", "es", (F.col("es") / F.col("mean")).alias("nes"), F.when(F.col("share").isNotNull(), F.greatest("share", F.lit(1.0 / permutations))).alias("p"))

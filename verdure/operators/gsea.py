@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.operators.ranks import ranges
+from verdure.storage import cut
 
 #: Genes of a range of the list, and permutations drawn together.
 RANGE, DRAWS = 1 << 16, 100
@@ -34,19 +35,19 @@ def ranked_list(df: DataFrame, gene: str = "gene_id", score: str = "score") -> D
 def hits(ranked: DataFrame, members: DataFrame, gene: str = "gene_id", term: str = "term", smallest: int = 70, largest: int = 782) -> DataFrame:
     """(term, gene, pos, weight, n_hits) of the sets with so many genes in the list."""
     sets = members.select(F.col(term).alias("term"), F.upper(F.col(gene).cast("string")).alias("gene")).distinct().join(ranked, "gene")
-    size = sets.groupBy("term").agg(F.count("*").alias("n_hits")).where(F.col("n_hits").between(smallest, largest))
-    return sets.join(size, "term").select("term", "gene", "pos", "weight", "n_hits")
+    return sets.withColumn("n_hits", F.count("*").over(Window.partitionBy("term"))).where(F.col("n_hits").between(smallest, largest)).select("term", "gene", "pos", "weight", "n_hits")
 
 
 def enrichment_scores(found: DataFrame, n: int) -> DataFrame:
-    """(term, n_hits, es, leading_edge): the largest deviation of each set's running sum (the high one where both are as large) and the genes up to it, or from it on where it is low."""
-    w = Window.partitionBy("term").orderBy("pos")
+    """(term, n_hits, es, leading_edge): the largest deviation of each set's running sum (the high one where both are as large) and the genes up to it, or from it on where it is low. Rows without pos keep their set in the result and count for nothing."""
+    w = Window.partitionBy("term").orderBy(F.asc_nulls_last("pos"))
     k, total = F.row_number().over(w) - 1, F.sum("weight").over(Window.partitionBy("term"))
     up = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     share = lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0))
     gap = (F.col("pos") - k) / F.greatest(F.lit(n) - F.col("n_hits"), F.lit(1))
     d = found.select("term", "gene", "pos", "n_hits", (share(up) - gap).alias("high"), (share(up - F.col("weight")) - gap).alias("low"))
-    top = d.groupBy("term", "n_hits").agg(F.max(F.struct("high", (-F.col("pos")).alias("p"))).alias("h"), F.min(F.struct("low", F.col("pos").alias("p"))).alias("l"), F.collect_list(F.struct("pos", "gene")).alias("g"))
+    hit = F.col("pos").isNotNull()
+    top = d.groupBy("term", "n_hits").agg(F.max(F.when(hit, F.struct("high", (-F.col("pos")).alias("p")))).alias("h"), F.min(F.when(hit, F.struct("low", F.col("pos").alias("p")))).alias("l"), F.collect_list(F.when(hit, F.struct("pos", "gene"))).alias("g"))
     high = F.col("h.high") >= -F.col("l.low")
     edge = F.filter("g", lambda x: F.when(high, x["pos"] <= -F.col("h.p")).otherwise(x["pos"] >= F.col("l.p")))
     return top.select("term", "n_hits", F.when(high, F.col("h.high")).otherwise(F.col("l.low")).alias("es"), F.transform(F.array_sort(edge), lambda x: x["gene"]).alias("leading_edge"))
@@ -122,12 +123,12 @@ def prerank(ranking: DataFrame, members: DataFrame, gene: str = "gene_id", score
     extreme over all sizes is at or beyond it. p, fdr and fwer are 1 / permutations at least. go_id: the first word of term.
     A set without draws on its side has nulls there.
     """
-    ranked = ranked_list(ranking, gene, score)
-    found = hits(ranked, members, gene, term, smallest, largest)
+    ranked = cut(ranked_list(ranking, gene, score), "ranked")
+    found = cut(hits(ranked, members, gene, term, smallest, largest), "hits")
     n = ranked.count()
-    sets = enrichment_scores(found, n)
+    sets = cut(enrichment_scores(found, n), "sets")
     side = (F.col("es") >= 0).alias("up")
-    null = null_scores(ranked, found, n, permutations, seed, size).select("n_hits", "permutation", "es", side)
+    null = cut(null_scores(ranked, found, n, permutations, seed, size), "null").select("n_hits", "permutation", "es", side)
     mean = null.groupBy("n_hits", "up").agg(F.avg(F.abs("es")).alias("mean"))
     sets = sets.select("*", side).join(mean, ["n_hits", "up"], "left").withColumn("x", F.abs("es") / F.col("mean"))
     of_size = sets.groupBy("n_hits").agg(F.count("*").alias("times"))
