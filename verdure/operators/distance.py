@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -261,3 +262,27 @@ def masked(m: DataFrame, share: float = 0.15, mask: float = -10.0, seed: int = 4
     u = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     hide = (F.col("value") != 0) & (u("gene_id", "sample_id") < share)
     return m.withColumn("is_masked", hide).withColumn("input", F.when(hide, mask).otherwise(F.col("value"))).withColumn("part", F.when(u("sample_id") < held, "valid").otherwise("train"))
+
+
+def weight_grid(constraints: dict[str, float | None]) -> list[tuple[float, ...]]:
+    """All weightings by constraints: a fixed weight, or None for 0 and 1 each; without those of zeros alone."""
+    return [w for w in itertools.product(*[[c] if c is not None else [0.0, 1.0] for c in constraints.values()]) if any(w)]
+
+
+def rank_sweep(axes: DataFrame, weights: list[tuple[float, ...]], names: list[str], distance: str = "distance") -> DataFrame:
+    """(names..., spearman) of each weighting of axis similarities against the distance, the most negative first; NULL, at the end, where either stands still.
+
+    The distance is ranked once, by ranges. Pairs with the same similarities are one row from then on, so each weighting ranks
+    the distinct similarities with their counts, not the pairs. Rows without a distance or a similarity are left out.
+    """
+    d = average_rank(axes.dropna(subset=[distance, *names]), distance, "_d")
+    same = d.where("_d IS NOT NULL").groupBy(*names).agg(F.count("*").alias("_n"), F.sum("_d").alias("_y"), F.sum(F.col("_d") ** 2).alias("_yy"))
+    score = lambda w: F.round(sum((F.col(n) * float(x) for n, x in zip(names, w, strict=True)), F.lit(0.0)) / float(sum(w) or 1.0), 12)
+    each = same.select("_n", "_y", "_yy", F.posexplode(F.array(*[score(w) for w in weights])).alias("_k", "_s")).groupBy("_k", "_s").agg(*[F.sum(c).alias(c) for c in ("_n", "_y", "_yy")])
+    upto = F.sum("_n").over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = each.withColumn("_r", upto - (F.col("_n") - 1) / 2)
+    s = x.groupBy("_k").agg(F.sum("_n").cast("double").alias("n"), F.sum(F.col("_n") * F.col("_r")).alias("x"), F.sum(F.col("_n") * F.col("_r") ** 2).alias("xx"), F.sum("_y").alias("y"), F.sum("_yy").alias("yy"), F.sum(F.col("_r") * F.col("_y")).alias("xy"))
+    spread = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
+    rho = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(F.when(spread > 0, spread)))
+    grid = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, w, strict=True)]) for w in weights])
+    return s.select(grid[F.col("_k")].alias("w"), rho.alias("spearman")).select("w.*", "spearman").orderBy(F.asc_nulls_last("spearman"), *names)

@@ -14,11 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.functions.special import digamma, t_two_sided, trigamma, trigamma_inverse
-from verdure.operators.ranks import center, ranges, weighted_ranks
-
-#: Rows of the Gram matrix that are summed together.
-GRAM_ROWS = 256
-
+from verdure.operators import spectral
+from verdure.operators.ranks import center, group_ranges, ranges, weighted_ranks
 
 def _levels(values: pd.Series) -> np.ndarray:
     return pd.get_dummies(values.astype(str), dtype=float).to_numpy()
@@ -84,7 +81,7 @@ def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int =
 
     m: gene_id, sample_id, value, class. A missing class or fewer than two classes is refused; k is held to
     min(k_max, samples - 1, genes - 1), and by default is where, of that many singular values, the ratio of successive
-    ones is largest. The samples x samples Gram matrix is summed by Spark in blocks of rows and solved on the driver.
+    ones is largest. The directions come from operators.spectral: no samples x samples matrix is made.
     """
     check = m.agg(F.count_if(F.col(by).isNull()).alias("missing"), F.countDistinct(by).alias("n"), F.countDistinct("sample_id").alias("s"), F.countDistinct("gene_id").alias("g")).first()
     if check.missing:
@@ -92,56 +89,24 @@ def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int =
     if check.n < 2:
         raise ValueError("two classes at least")
     w = center(weighted_ranks(m, n_bins), ("gene_id", by), "weighted", "left")
-    names = sorted(r[0] for r in m.select("sample_id").distinct().collect())
-    place = {v: i for i, v in enumerate(names)}
+    rows, names = spectral.wide_rows(w, "left", carry=("weighted",))
     n = len(names)
-
-    def gram(batches):  # of all genes of a task, a block of rows at a time
-        g = np.zeros((n, n))
-        for pdf in batches:
-            x = np.zeros((len(pdf), n))
-            for k, (i, v) in enumerate(zip(pdf["s"], pdf["v"], strict=True)):
-                x[k, [place[a] for a in i]] = v
-            g += x.T @ x
-        if g.any():
-            yield pd.DataFrame({"block": range(0, n, GRAM_ROWS), "g": [g[k : k + GRAM_ROWS].tobytes() for k in range(0, n, GRAM_ROWS)]})
-
-    def summed(batches):
-        total: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for k, b in zip(pdf["block"], pdf["g"], strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(b)
-        yield pd.DataFrame({"block": list(total), "g": [v.tobytes() for v in total.values()]})
-
-    rows = w.groupBy("gene_id").agg(F.collect_list("sample_id").alias("s"), F.collect_list("left").alias("v")).select("s", "v")
-    g = np.zeros((n, n))
-    for r in rows.mapInPandas(gram, "block long, g binary").repartition("block").mapInPandas(summed, "block long, g binary").toLocalIterator():
-        g[r.block : r.block + GRAM_ROWS] = np.frombuffer(r.g).reshape(-1, n)
-    values, vectors = np.linalg.eigh(g)
-    sv, vectors = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
     most = max(1, min(k_max, check.s - 1, check.g - 1))
+    sv, vectors = spectral.directions(rows, n, k=most)
     if k is None:
-        k = int(np.argmax(sv[: most - 1] / (sv[1:most] + 1e-12))) + 1 if most > 1 else 1
-    top = vectors[:, : min(k, most)]
-
-    @F.pandas_udf("array<double>")
-    def removed(s: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for i, x in zip(s, v, strict=True):
-            u = top[[place[a] for a in i]]
-            out.append(u @ (u.T @ np.asarray(x, float)))
-        return pd.Series(out)
-
-    both = w.groupBy("gene_id").agg(F.collect_list(F.struct("sample_id", "left", "weighted")).alias("c"))
-    both = both.withColumn("off", removed(F.col("c.sample_id"), F.col("c.left")))
-    return both.select("gene_id", F.explode(F.arrays_zip("c", "off")).alias("x")).select("gene_id", "x.c.sample_id", (F.col("x.c.weighted") - F.col("x.off")).alias("value"))
+        k = int(np.argmax(sv[:-1] / (sv[1:] + 1e-12))) + 1 if len(sv) > 1 else 1
+    off = spectral.projected(rows, vectors[:, : min(k, most)])
+    kind = dict(m.dtypes)["sample_id"]
+    index = m.sparkSession.createDataFrame(list(zip(range(n), names, strict=True)), f"i int, sample_id {kind}")
+    cells = off.select("gene_id", F.explode(F.arrays_zip("i", "weighted", "p")).alias("x")).select("gene_id", "x.i", (F.col("x.weighted") - F.col("x.p")).alias("value"))
+    return cells.join(index, "i").select("gene_id", "sample_id", "value")
 
 
-def adjust_bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), out: str = "adj_p") -> DataFrame:
+def adjust_bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), out: str = "adj_p", rows: int | None = None) -> DataFrame:
     """Benjamini-Hochberg within `by`: the least of p m / rank from a row's rank on; NULL p stay NULL and don't count.
 
-    Rows are ranked from the largest p down, so the frame only grows. Without `by`, rows are dealt into ranges of p; the
-    rows and the least value of the ranges above are added by a join with one row a range.
+    Rows are ranked from the largest p down, so the frame only grows. Rows are dealt into ranges of p (of a group, if it has more than
+    `rows` rows); the rows and the least value of the ranges above are added by a join with one row a range.
     """
     if not by:
         d, ends = ranges(df, p, "_b")
@@ -151,11 +116,15 @@ def adjust_bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), out: str =
         d = d.join(F.broadcast(least.select("_b", "_above")), "_b", "left")
         run = F.least(F.lit(1.0), F.min("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_above")
         return d.withColumn(out, F.when(F.col(p).isNotNull(), run)).drop("_b", "_n", "_upto", "_v", "_above")
-    w = Window.partitionBy(*by)
-    n, i = F.count(p).over(w), F.row_number().over(w.orderBy(F.asc_nulls_last(p)))
-    down = w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = df.withColumn("_n", n).withColumn("_i", i)
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_i")).over(down)))).drop("_n", "_i")
+    d = group_ranges(df.where(F.col(p).isNotNull()), p, by, rows)
+    w = Window.partitionBy(*by, "_b")
+    d = d.withColumn("_v", F.col(p) * F.col("_n") / (F.col("_before") + F.count("*").over(w) - F.row_number().over(w.orderBy(F.desc(p))) + 1))
+    least = d.groupBy(*by, "_b", "_n").agg(F.min("_v").alias("_m"), F.count("*").alias("_k")).where("_k < _n")  # of groups that are cut
+    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(least.select(*by, "_b", F.min("_m").over(above).alias("_above")), [*by, "_b"], "left")
+    run = F.least(F.lit(1.0), F.min("_v").over(w.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_above")
+    d = d.withColumn(out, run).select(*df.columns, out)
+    return d.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def two_groups(m: DataFrame, treated: str = "treated", by: tuple[str, ...] = ("gene_id",)) -> DataFrame:

@@ -33,6 +33,31 @@ def ranges(df: DataFrame, value: str, out: str = "_b", parts: int | None = None)
     return d, ends
 
 
+#: Rows of a group up to which it is one range.
+GROUP_ROWS = 1 << 17
+
+
+def group_ranges(df: DataFrame, value: str, by: tuple[str, ...], rows: int | None = None) -> DataFrame:
+    """df with _b, _before, _n: the range of value a row falls in within its group, the group's rows in ranges below and in all.
+
+    Only groups of more than `rows` rows are cut, into as many ranges as shuffle partitions, so a hot group is no one's task and the others
+    cost nothing; equal values share a range. NULL is in a range of its own before, NaN after all others. Rows of a NULL group stay one range.
+    """
+    rows, parts = rows or GROUP_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(value).cast("double")
+    large = df.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") > rows).select(*by)
+    marks = [k / parts for k in range(1, parts)] or [0.5]
+    bounds = df.join(large, list(by), "left_semi").groupBy(*by).agg(F.percentile_approx(F.when(~F.isnan(v), v), marks, 20 * parts).alias("_q"))
+    d = df.join(bounds, list(by), "left")
+    at = F.when(F.col("_q").isNull(), 0).when(v.isNull(), -1).when(F.isnan(v), 1 << 30).otherwise(F.size(F.filter("_q", lambda x: x < v)))
+    d = d.withColumn("_b", at)
+    w = Window.partitionBy(*by).orderBy("_b")
+    k = d.where("_q IS NOT NULL").groupBy(*by, "_b").agg(F.count("*").alias("_k"))
+    k = k.select(*by, "_b", F.coalesce(F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    d = d.drop("_q").join(k, [*by, "_b"], "left")
+    return d.withColumn("_n", F.coalesce("_n", F.count("*").over(Window.partitionBy(*by, "_b")))).withColumn("_before", F.coalesce("_before", F.lit(0)))
+
+
 def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """Rank over the whole table, ties at their average, without gathering it in one task; NULL and NaN get NULL."""
     d, ends = ranges(df, value, "_b")
@@ -76,9 +101,14 @@ def take_per(df: DataFrame, keys: tuple[str, ...], n: int, *order: Column | str)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def rank_percentile(df: DataFrame, by: tuple[str, ...], *order: Column | str) -> DataFrame:
-    """Adds term_rank (1 is first), n_terms and percentile (rank - 1) / (n - 1) x 100, 0 for a single row."""
-    out = df.withColumn("term_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("n_terms", F.count("*").over(Window.partitionBy(*by)))
+def rank_percentile(df: DataFrame, by: tuple[str, ...], *order: Column | str, rows: int | None = None) -> DataFrame:
+    """Adds term_rank (1 is first), n_terms and percentile (rank - 1) / (n - 1) x 100, 0 for a single row. Where the first of order is the name of a number, large groups are ranked by ranges of it."""
+    if isinstance(order[0], str) and dict(df.dtypes)[order[0]].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        d = group_ranges(df, order[0], by, rows)
+        place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+        out = d.withColumn("term_rank", (F.col("_before") + place).cast("int")).withColumn("n_terms", F.col("_n")).select(*df.columns, "term_rank", "n_terms")
+    else:
+        out = df.withColumn("term_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("n_terms", F.count("*").over(Window.partitionBy(*by)))
     return out.withColumn("percentile", F.when(F.col("n_terms") <= 1, F.lit(0.0)).otherwise((F.col("term_rank") - 1) / (F.col("n_terms") - 1) * 100))
 
 
