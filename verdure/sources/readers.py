@@ -12,20 +12,31 @@ from pyspark.sql import types as T
 from verdure.functions.text import locus
 
 
-def wide_csv(spark: SparkSession, path: str | list[str], sep: str = ",", gene: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """(gene_id, sample_id, value) of a matrix file with genes down and samples across; without a column a sample: lines are split against the header."""
-    lines = spark.read.text(path)
-    header = next(iter(spark.read.text(path).limit(1).collect()), None)
-    schema = "gene_id string, sample_id string, value double"
-    if header is None:
-        return spark.createDataFrame([], schema)
-    names = [x.strip('"') for x in header[0].split(sep)]
-    at = names.index(gene) if gene else 0
-    skip = {at, *(names.index(c) for c in drop if c in names)}
-    cells = F.transform(F.split("value", F.lit(f"\\Q{sep}\\E")), lambda x: F.btrim(x, F.lit('"')))
-    pairs = F.posexplode(cells).alias("k", "v")
-    body = lines.where(F.col("value") != header[0]).select(F.get(cells, F.lit(at)).alias("gene_id"), pairs).where(~F.col("k").isin(*skip))
-    return body.select("gene_id", F.get(F.array(*[F.lit(n.split(".")[0]) for n in names]), F.col("k")).alias("sample_id"), F.col("v").try_cast("double").alias("value"))
+def _cells(line: Column, sep: str) -> Column:
+    """The cells of a line; separators within quotes are kept, quotes around a cell go and doubled ones inside are one."""
+    one = f"(?:[^{sep}]*)" if sep != "\t" else "(?:[^\t]*)"
+    quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{sep}(\\s*"(?:[^"]|"")*"\\s*|{one})'), 1)
+    bare = F.transform(quoted, lambda x: F.when(F.btrim(x).startswith('"'), F.replace(F.regexp_replace(F.btrim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(line.contains('"'), bare).otherwise(F.split(line, f"\\Q{sep}\\E"))
+
+
+def wide_csv(spark: SparkSession, path: str | list[str], sep: str = ",", gene: str | None = None, drop: tuple[str, ...] = (), samples: tuple[str, ...] | None = None) -> DataFrame:
+    """(gene_id, sample_id, value) of matrix files with genes down and samples across, each by its own header; without a column a sample: lines are split against it.
+
+    gene: the name of the gene column (an error where a file has none), else the first. samples: of other columns no cell is looked at. A sample is
+    named by its column up to the first dot. Long files are read by many tasks; the headers are found in a first pass that splits nothing.
+    """
+    meta = F.col("_metadata")
+    raw = spark.read.text(path).select(meta["file_path"].alias("_f"), meta["file_block_start"].alias("_o"), F.monotonically_increasing_id().alias("_i"), "value")
+    names = _cells(F.col("header"), sep)
+    heads = raw.where("_o = 0").groupBy("_f").agg(F.min_by("value", "_i").alias("header"), F.min("_i").alias("_h"))
+    place = F.when(F.array_position(names, gene) > 0, F.array_position(names, gene).cast("int") - 1).otherwise(F.raise_error(F.concat(F.lit(f"no column {gene} in "), "_f")).cast("int")) if gene else F.lit(0)
+    heads = heads.select("_f", "_h", place.alias("_at"), F.transform(names, lambda n, k: F.struct(k.alias("k"), n.alias("column"), F.split_part(n, F.lit("."), F.lit(1)).alias("n"))).alias("_c"))
+    kept = lambda x: (x["k"] != F.col("_at")) & ~x["column"].isin(*drop) & (x["n"].isin(*samples) if samples is not None else F.lit(True))
+    heads = heads.select("_f", "_h", "_at", F.filter("_c", kept).alias("_c"))
+    body = raw.join(heads, "_f").where("_o <> 0 OR _i <> _h").select("_at", "_c", _cells(F.col("value"), sep).alias("_v"))
+    cell = F.explode(F.transform("_c", lambda x: F.struct(x["n"].alias("sample_id"), F.get("_v", x["k"]).alias("v")))).alias("x")
+    return body.select(F.get("_v", F.col("_at")).alias("gene_id"), cell).select("gene_id", "x.sample_id", F.col("x.v").try_cast("double").alias("value"))
 
 
 def header_columns(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
