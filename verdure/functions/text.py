@@ -92,3 +92,14 @@ def sorted_join(c: Column, sep: str = "_") -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def migrated(v: Column) -> Column:
+    """A label map's entry of any version, as a Variant, as (label, studies): a name; a name and a list of studies; an object with label and studies (by name, in the order of names)."""
+    kind = F.schema_of_variant(v)
+    get = lambda path, t: F.try_variant_get(v, path, t)
+    label = F.when(kind == "STRING", get("$", "string")).when(kind.startswith("ARRAY"), get("$[0]", "string")).otherwise(get("$.label", "string"))
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(get("$[1]", "array<string>"), none)
+    keyed = F.coalesce(F.map_keys(get("$.studies", "map<string,variant>")), get("$.studies", "array<string>"), none)
+    return F.struct(label.alias("label"), F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), keyed).otherwise(none).alias("studies"))

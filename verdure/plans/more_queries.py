@@ -73,12 +73,15 @@ def _(spark, sf):
     return e.select("event_id", F.explode("m").alias("axis", "label"))
 
 
-@query("label_map_migrate", """WITH v(raw, label) AS (VALUES ('leaf', 'Leaf'), ('root', 'Root'), ('stem', 'Stem')) SELECT raw, label FROM v""")
-def _(spark, sf):
-    old = spark.createDataFrame([("leaf", '"Leaf"'), ("root", '["Root", ["GSE1"]]'), ("stem", '{"label": "Stem", "studies": {"GSE1": ["GSM1"]}}')], "raw string, v string")
-    c = F.col("v")
-    label = F.when(c.startswith("{"), F.get_json_object(c, "$.label")).when(c.startswith("["), F.get_json_object(c, "$[0]")).otherwise(F.btrim(c, F.lit('"')))
-    return old.select("raw", label.alias("label"))
+@query("label_map_migrate", "SELECT p_partkey AS raw, p_type AS label, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand ELSE p_brand || ',' || p_name END AS studies FROM part")
+def _(spark, sf):
+    """Maps of three versions: a name, a name with its studies, an object with samples by study."""
+    turn, name, brand = F.col("p_size") % 3, F.to_json(F.array("p_type")), F.to_json(F.array("p_brand"))
+    bare = lambda c: F.regexp_replace(c, r"^\[|\]$", "")
+    two = F.concat(F.lit('{"label": '), bare(name), F.lit(', "studies": {'), bare(brand), F.lit(': ["GSM1"], '), bare(F.to_json(F.array("p_name"))), F.lit(": []}}"))
+    old = t(spark, sf, "part").select(F.col("p_partkey").alias("raw"), F.when(turn == 0, bare(name)).when(turn == 1, F.concat(F.lit("["), bare(name), F.lit(", "), brand, F.lit("]"))).otherwise(two).alias("v"))
+    m = old.select("raw", text.migrated(F.parse_json("v")).alias("m"))
+    return m.select("raw", "m.label", F.array_join("m.studies", ",").alias("studies"))
 
 
 @query("label_pair_insert", "SELECT o_orderpriority AS raw, arg_min(o_orderstatus, o_orderkey) AS grounded FROM (SELECT * FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) = 1 OR o_orderkey % 2 = 0) GROUP BY 1")

@@ -249,14 +249,18 @@ def _(spark, sf):
     return c.where(F.array_contains(text.parts(F.coalesce("text", F.lit("")), " "), "the")).select("conv_id", "turn")
 
 
-LABELS = "v(id, label) AS (VALUES (1, 'Heat + Drought'), (2, 'Control'), (3, ' Heat '), (4, 'Control + Heat'), (5, 'unspecified'), (6, NULL), (7, 'Cold+ Heat'), (8, 'HEAT'))"
-ROWS = [(1, "Heat + Drought"), (2, "Control"), (3, " Heat "), (4, "Control + Heat"), (5, "unspecified"), (6, None), (7, "Cold+ Heat"), (8, "HEAT")]
+LABELS = "v AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'Heat + Drought' WHEN 'click' THEN ' Heat ' WHEN 'signup' THEN 'Control + Heat' WHEN 'purchase' THEN CASE user_id % 3 WHEN 0 THEN 'Control' WHEN 1 THEN 'Cold+ Heat' ELSE 'HEAT' END ELSE CASE user_id % 3 WHEN 0 THEN 'unspecified' WHEN 1 THEN ' None' END END AS label FROM events)"
 
 
 @query("treatment_predicates", f"""WITH {LABELS} SELECT id, list_contains(list_transform(string_split(coalesce(label, ''), '+'), lambda x: trim(x)), 'Heat') AS member, trim(coalesce(label, '')) = 'Heat' AS pure,
 coalesce(contains(label, 'Control'), false) AS control, label IS NOT NULL AND lower(trim(label)) NOT IN ('unspecified', 'unknown', 'none', 'nan', 'na', '') AS valid FROM v""")
 def _(spark, sf):
-    v = spark.createDataFrame(ROWS, "id int, label string")
+    kind, u = F.col("event_type"), F.col("user_id") % 3
+    label = (
+        F.when(kind == "view", "Heat + Drought").when(kind == "click", " Heat ").when(kind == "signup", "Control + Heat")
+        .when(kind == "purchase", F.when(u == 0, "Control").when(u == 1, "Cold+ Heat").otherwise("HEAT")).otherwise(F.when(u == 0, "unspecified").when(u == 1, " None"))
+    )
+    v = t(spark, sf, "events").select(F.col("event_id").alias("id"), label.alias("label"))
     c = F.col("label")
     return v.select("id", text.has_treatment(c, "Heat").alias("member"), text.is_pure(c, "Heat").alias("pure"), F.coalesce(c.contains("Control"), F.lit(False)).alias("control"), text.is_valid(c).alias("valid"))
 
@@ -276,13 +280,14 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.size(text.flags(F.col("text"), ["license", "idiot", "apache", "the"])).alias("n_flags"))
 
 
-FILES = [("GSE12_raw_counts.txt.gz",), ("GSE12_fpkm.txt.gz",), ("README.md",), ("sample.bam",), ("htseq.tsv",), ("GSE7_matrix.csv",)]
+ENDINGS = ("_raw_counts.txt.gz", "_fpkm.txt.gz", "/README.md", ".bam", "_htseq.tsv", "_matrix.csv")
 
 
-@query("candidate_file_score", """WITH f(name) AS (VALUES ('GSE12_raw_counts.txt.gz'), ('GSE12_fpkm.txt.gz'), ('README.md'), ('sample.bam'), ('htseq.tsv'), ('GSE7_matrix.csv'))
-SELECT name, CASE WHEN regexp_matches(lower(name), 'readme|\\.bam$') OR regexp_matches(lower(name), 'fpkm|rpkm|tpm') THEN -1 ELSE (CASE WHEN regexp_matches(lower(name), 'count|htseq') THEN 10 ELSE 0 END) + (CASE WHEN regexp_matches(name, '^GSE\\d+') THEN 5 ELSE 0 END) + (CASE WHEN lower(name) LIKE '%.gz' THEN 2 ELSE 0 END) END AS score FROM f""")
+@query("candidate_file_score", f"""WITH f AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'GSE' ELSE 'x' END || p_partkey || [{', '.join(repr(x) for x in ENDINGS)}][1 + p_size % {len(ENDINGS)}] AS name FROM part)
+SELECT p_partkey, name, CASE WHEN regexp_matches(lower(name), 'readme|\\.bam$') OR regexp_matches(lower(name), 'fpkm|rpkm|tpm') THEN -1 ELSE (CASE WHEN regexp_matches(lower(name), 'count|htseq') THEN 10 ELSE 0 END) + (CASE WHEN regexp_matches(name, '^GSE\\d+') THEN 5 ELSE 0 END) + (CASE WHEN lower(name) LIKE '%.gz' THEN 2 ELSE 0 END) END AS score FROM f""")
 def _(spark, sf):
-    return spark.createDataFrame(FILES, "name string").select("name", text.file_score(F.col("name"), r"readme|\.bam$", "fpkm|rpkm|tpm", "count|htseq").alias("score"))
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, "GSE").otherwise("x"), F.col("p_partkey").cast("string"), F.get(F.array(*[F.lit(x) for x in ENDINGS]), F.col("p_size") % len(ENDINGS)))
+    return t(spark, sf, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", text.file_score(F.col("name"), r"readme|\.bam$", "fpkm|rpkm|tpm", "count|htseq").alias("score"))
 
 
 @query("filename_extract", "SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))::INT AS n_links FROM pages")
