@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdure.operators import distance, ranks, reports
+from verdure.operators import distance, neighbours, ranks, reports
 from verdure.plans.matrix_queries import DENSE, dense, r
 from verdure.plans.registry import query, t
-from verdure.plans.stat_queries import CLOSURE, tree
+from verdure.plans.stat_queries import CLOSURE, tree, vectors
 
 # Two sides of labels of events: the second changes a value where k is small, and an intensity where the user's number is even.
 SIDES = """e AS (SELECT user_id AS study, event_id AS sample, event_type AS a, CASE WHEN (props->>'k')::INT < 20 THEN 'other' ELSE event_type END AS b, event_id % 3 AS i, CASE WHEN user_id % 2 = 0 THEN 2 ELSE event_id % 3 END AS j FROM events),
@@ -139,3 +139,18 @@ def _(spark, sf):
     vocabulary = ranks.chunks(few, 1, (), F.desc("gene_id")).withColumnRenamed("chunk", "pos")
     v = reports.in_vocabulary(x, vocabulary)
     return v.select("sample_id", F.array_join(F.transform("values", lambda q: F.round(q, 2).cast("decimal(18,2)").cast("string")), ",").alias("row"))
+
+
+@query("knn_two_fold", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), w AS (SELECT * FROM v WHERE label IN (SELECT label FROM v GROUP BY 1 HAVING count(*) > 1)), p AS (SELECT a.vec_id AS q, a.label AS own, b.label AS l, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS i FROM w a JOIN w b ON a.vec_id % 2 <> b.vec_id % 2),
+k AS (SELECT q, own, l, count(*) AS n FROM p WHERE i <= 5 GROUP BY ALL), s AS (SELECT q, own, l FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, l) = 1) SELECT q % 2 AS fold, count(*) AS n, round(avg((l = own)::INT), 9) AS accuracy FROM s GROUP BY 1""")
+def _(spark, sf):
+    p = neighbours.two_fold_purity(vectors(spark, sf), F.col("sample_id") % 2)
+    return p.select("fold", "n", r("accuracy", 9).alias("accuracy"))
+
+
+@query("knn_index_recall")
+def _(spark, sf):
+    """Neighbours through the index for all vectors, and the share of the exact ones that are among them."""
+    v = vectors(spark, sf)
+    found = neighbours.Index(v).nearest(v, 5, 12)
+    return found.groupBy("rank").agg(F.count("*").alias("n"), r(F.avg("distance")).alias("mean")).withColumn("recall", F.lit(round(neighbours.recall(found, neighbours.nearest(v, v, 5)), 4)))
