@@ -49,6 +49,13 @@ def test_index_with_a_crowd(spark, points, monkeypatch):
     assert worse <= 30 and neighbours.recall(found, exact) >= 0.9 and neighbours.recall(index.nearest(df, 5, probes=10), exact) == 1.0
 
 
+def test_probes_are_found_for_a_recall(spark, points):
+    _, _, df = points
+    index, exact = neighbours.Index(df.where("sample_id % 7 > 0"), cells=16), neighbours.nearest(df, df.where("sample_id % 7 > 0"), 3)
+    p = index.probes_for(df.where("sample_id % 7 > 0"), 3, 0.9, 100)
+    assert 1 <= p <= 16 and neighbours.recall(index.nearest(df, 3, p), exact) >= 0.85 and neighbours.recall(index.nearest(df, 3, 16), exact) == 1.0
+
+
 def test_two_fold_purity(spark, points):
     x, label, df = points
     keep = [i for i in range(300) if label[i] != "alone"]

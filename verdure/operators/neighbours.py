@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdure.storage import cut
+
 #: Vectors in a block, or in a part of a cell, at most about.
 BLOCK = 4096
 #: Vectors drawn for the centres.
@@ -103,6 +105,15 @@ class Index:
         return _merged(q, self.base, k, self.key)
 
 
+    def probes_for(self, base: DataFrame, k: int = 5, least: float = 0.9, sample: int = 300) -> int:
+        """The smallest power of two of cells to look into with which a hash sample of base finds at least this share (and a little) of its exact neighbours; all cells find all."""
+        some = base.orderBy(F.xxhash64(self.key, F.lit(1))).limit(sample).select(self.key, "values")
+        exact, p = cut(nearest(some, base, k, self.key), "exact"), 1
+        while p < len(self.centres) and recall(self.nearest(some, k, p), exact, self.key) < min(1.0, least + 0.03):
+            p *= 2
+        return min(p, len(self.centres))
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str = "sample_id") -> float:
     """The share of the exact neighbours that were found."""
     hit = exact.join(found.select(key, "other").withColumn("_h", F.lit(1)), [key, "other"], "left")

@@ -150,7 +150,8 @@ def _(spark, sf):
 
 @query("knn_index_recall")
 def _(spark, sf):
-    """Neighbours through the index for all vectors, and the share of the exact ones that are among them."""
+    """Neighbours through the index for all vectors, in as many cells as a sample needs, and the share of all exact ones that are among them."""
     v = vectors(spark, sf)
-    found = neighbours.Index(v).nearest(v, 5, 12)
+    index = neighbours.Index(v)
+    found = index.nearest(v, 5, index.probes_for(v, 5))
     return found.groupBy("rank").agg(F.count("*").alias("n"), r(F.avg("distance")).alias("mean")).withColumn("recall", F.lit(round(neighbours.recall(found, neighbours.nearest(v, v, 5)), 4)))
