@@ -103,3 +103,31 @@ def migrated(v: Column) -> Column:
     listed = F.coalesce(get("$[1]", "array<string>"), none)
     keyed = F.coalesce(F.map_keys(get("$.studies", "map<string,variant>")), get("$.studies", "array<string>"), none)
     return F.struct(label.alias("label"), F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), keyed).otherwise(none).alias("studies"))
+
+
+def first_object(c: Column) -> Column:
+    """An answer without code fences and blanks around it; of one that holds an object amid words, the first {...}."""
+    bare = F.btrim(F.regexp_replace(c, r"```(?:json)?\s*|\s*```", ""), F.lit(" \t\r\n"))
+    return F.when(bare.startswith("{"), bare).otherwise(F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)\{.*?\}", 0), F.lit("")), bare))
+
+
+def floored(p: Column, least: Column) -> Column:
+    """p, or `least` (say, the smallest p above zero) where p is below it; 1e-300 where there is none."""
+    return F.greatest(p, F.coalesce(least, F.lit(1e-300)))
+
+
+def minus_ln(p: Column, add: float = 1e-10) -> Column:
+    return -F.log(p + add)
+
+
+def value_of(json: Column) -> Column:
+    """Of an object the value under val, else under value; of anything else itself; as text."""
+    v = F.try_parse_json(json)
+    return F.coalesce(F.try_variant_get(v, "$.val", "string"), F.try_variant_get(v, "$.value", "string"), F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "string")))
+
+
+def with_sub(base: Column, key: Column, value: Column) -> Column:
+    """Base (Key: Val), or Base alone without a value; Unspecified without a base."""
+    b = F.nullif(clean_term(F.coalesce(base, F.lit(""))), F.lit(""))
+    some = F.nullif(clean_term(F.coalesce(value.cast("string"), F.lit(""))), F.lit(""))
+    return F.when(b.isNull(), "Unspecified").when(some.isNull(), b).otherwise(F.concat(b, F.lit(" ("), F.initcap(key), F.lit(": "), some, F.lit(")")))

@@ -286,3 +286,13 @@ def rank_sweep(axes: DataFrame, weights: list[tuple[float, ...]], names: list[st
     rho = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(F.when(spread > 0, spread)))
     grid = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, w, strict=True)]) for w in weights])
     return s.select(grid[F.col("_k")].alias("w"), rho.alias("spearman")).select("w.*", "spearman").orderBy(F.asc_nulls_last("spearman"), *names)
+
+
+def signed_ego(edges: DataFrame, start: list, hops: int = 5, src: str = "src", dst: str = "dst", weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """(ego's nodes, (src, dst, weight, sign) of the edges between them): sign is positive, negative or none; an edge and its reverse are one, of the larger absolute weight."""
+    nodes = ego(edges, start, hops, src, dst)
+    e = edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"), F.col(weight).alias("weight"))
+    e = e.groupBy("src", "dst").agg(F.max_by("weight", F.struct(F.abs("weight"), "weight")).alias("weight"))
+    for end in ("src", "dst"):
+        e = e.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    return nodes, e.select("src", "dst", "weight", F.when(F.col("weight") > 0, "positive").when(F.col("weight") < 0, "negative").otherwise("none").alias("sign"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdure.functions import text
 from verdure.operators import distance, neighbours, ranks, reports
+from verdure.operators.matrix import with_scalar
 from verdure.plans.matrix_queries import DENSE, dense, r
 from verdure.plans.registry import query, t
 from verdure.plans.stat_queries import CLOSURE, tree, vectors
@@ -155,3 +157,40 @@ def _(spark, sf):
     index = neighbours.Index(v)
     found = index.nearest(v, 5, index.probes_for(v, 5))
     return found.groupBy("rank").agg(F.count("*").alias("n"), r(F.avg("distance")).alias("mean")).withColumn("recall", F.lit(round(neighbours.recall(found, neighbours.nearest(v, v, 5)), 4)))
+
+
+@query("label_terms_with_subs", "SELECT CASE WHEN user_id % 4 = 0 THEN 'Unspecified' WHEN k % 5 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE upper(event_type[1]) || event_type[2:] || ' (Intensity: ' || k || ')' END AS term, count(*) AS n FROM (SELECT *, (props->>'k')::INT AS k FROM events) GROUP BY 1")
+def _(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    base = F.when(F.col("user_id") % 8 == 0, "none").when(F.col("user_id") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("['"), "event_type", F.lit("']")))
+    term = text.with_sub(base, F.lit("intensity"), F.when(k % 5 > 0, k.cast("string")).otherwise("nan"))
+    return t(spark, sf, "events").groupBy(term.alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("treatment_intensity_pivot", "SELECT event_type, count(*) FILTER (k NOT BETWEEN 1 AND 3) AS i0, count(*) FILTER (k = 1) AS i1, count(*) FILTER (k = 2) AS i2, count(*) FILTER (k = 3) AS i3 FROM (SELECT event_type, (props->>'k')::INT % 7 AS k FROM events) GROUP BY 1")
+def _(spark, sf):
+    k = F.get_json_object("props", "$.k").try_cast("int") % 7
+    e = t(spark, sf, "events").select("event_type", F.when(k.between(0, 3), k).otherwise(0).alias("k"))
+    return e.groupBy("event_type").pivot("k", [0, 1, 2, 3]).agg(F.count("event_type")).fillna(0).toDF("event_type", "i0", "i1", "i2", "i3")
+
+
+@query("answer_objects", """SELECT event_id, props AS object, props->>'k' AS k FROM events""")
+def _(spark, sf):
+    """Objects in fences, amid words, or bare; their value under val, value, or no key at all."""
+    turn, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    said = F.when(turn == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(turn == 1, F.concat(F.lit("I say "), "props", F.lit(", no {more}"))).when(turn == 2, F.concat(F.lit(" "), "props", F.lit("\n"))).otherwise(F.col("props"))
+    held = F.when(turn == 0, F.concat(F.lit('{"val": '), k, F.lit(', "value": 7}'))).when(turn == 1, F.concat(F.lit('{"value": "'), k, F.lit('"}'))).when(turn == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    return t(spark, sf, "events").select("event_id", text.first_object(said).alias("object"), text.value_of(held).alias("k"))
+
+
+@query("rank_metric_floors", "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS p FROM lineitem), f AS (SELECT min(p) FILTER (p > 0) AS f FROM l) SELECT l_orderkey, l_linenumber, l_partkey, round(-log10(greatest(p, coalesce(f, 1e-300))), 9) AS x, round(-ln(p + 1e-10), 9) AS y FROM l, f")
+def _(spark, sf):
+    li = t(spark, sf, "lineitem").withColumn("p", F.col("l_discount").cast("double"))
+    li = with_scalar(li, li.agg(F.min(F.when(F.col("p") > 0, F.col("p"))).alias("f")))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", r(-F.log10(text.floored(F.col("p"), F.col("f"))), 9).alias("x"), r(text.minus_ln(F.col("p")), 9).alias("y"))
+
+
+@query("signed_ego_edges", "WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 2 AS d, p_retailprice - 1500 AS w FROM part WHERE p_partkey > 0), u AS (SELECT s, d FROM e UNION SELECT d, s FROM e), w(node, hop) AS (SELECT 5::BIGINT, 0 UNION SELECT d, hop + 1 FROM w JOIN u ON s = node WHERE hop < 3) SELECT least(s, d) AS src, greatest(s, d) AS dst, CASE WHEN w > 0 THEN 'positive' WHEN w < 0 THEN 'negative' ELSE 'none' END AS sign FROM e WHERE s <> d AND s IN (SELECT node FROM w) AND d IN (SELECT node FROM w)")
+def _(spark, sf):
+    e = t(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"), (F.col("p_retailprice") - 1500).alias("weight"))
+    return distance.signed_ego(e, [5], 3)[1].select("src", "dst", "sign")

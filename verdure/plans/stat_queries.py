@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdure.functions import text
-from verdure.operators import distance, enrich, models
+from verdure.operators import distance, enrich, learning, models
 from verdure.plans.matrix_queries import DENSE, dense, r
 from verdure.plans.registry import query, t
 
@@ -268,12 +268,7 @@ def _(spark, sf):
 
 @query("kmeans_ari")
 def _(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors(spark, sf).withColumn("features", array_to_vector("values"))
-    out = KMeans(k=10, seed=42, maxIter=20).fit(v).transform(v)
-    return distance.adjusted_rand(out, "class", "prediction").select(r("ari", 8).alias("ari"))
+    return learning.clusters_against(vectors(spark, sf)).select(r("ari", 8).alias("ari"))
 
 
 @query("pca_scores")
@@ -289,12 +284,16 @@ def _(spark, sf):
 
 @query("multinomial_cv")
 def _(spark, sf):
-    from functools import reduce
+    return learning.cross_validated(vectors(spark, sf))
+
 
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+@query("pca_signed_scores")
+def _(spark, sf):
+    scores, _ = learning.principal_components(dense(spark, sf), k=5)
+    return scores.select("sample_id", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
 
-    v = vectors(spark, sf).select("sample_id", F.col("class").cast("double").alias("label"), array_to_vector("values").alias("features"), F.pmod(F.xxhash64("sample_id"), F.lit(5)).alias("fold"))
-    one = lambda k: LogisticRegression(family="multinomial", maxIter=20).fit(v.where(F.col("fold") != k)).transform(v.where(F.col("fold") == k))
-    out = reduce(lambda a, b: a.unionByName(b), [one(k).select("fold", "label", "prediction") for k in range(5)])
-    return out.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"))
+
+@query("pca_share_of_variance")
+def _(spark, sf):
+    _, share = learning.principal_components(dense(spark, sf), share=0.9)
+    return spark.createDataFrame([(k + 1, round(float(x), 8)) for k, x in enumerate(share)], "component int, share double")
