@@ -58,3 +58,13 @@ def test_scores_every_row(spark, docs, rows, none):
     assert len(got) == len(rows) and all(0 <= r[2] <= 1 for r in got)
     assert all(r[2] == 0.5 for r in quality_model.score_quality(docs, labels.where("false")).collect())
     assert quality_model.score_quality(none, labels).count() == 0
+
+
+def test_accuracy_on_labels_held_out(spark):
+    """The query's scores on a test table, against the labels it must not learn from."""
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(r.predicted, r.score, label[r.doc_id]) for r in quality_model.op6_quality_classifier(spark, sf).collect() if r.held_out and label.get(r.doc_id) is not None]
+    right = np.mean([p == y for p, _, y in got])
+    good, bad = ([s for _, s, y in got if y == k] for k in (1, 0))
+    assert len(got) > 50 and min(len(good), len(bad)) > 5 and right > 0.95 and np.mean([a > b for a in good for b in bad]) > 0.97
