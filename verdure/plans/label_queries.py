@@ -102,13 +102,13 @@ def _(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.array_join(labels.canonical(F.array("p_type", F.upper("p_name"), F.concat(F.lit(" "), "p_type"))), "|").alias("form"))
 
 
-@query("treatment_changes", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'same' WHEN o_orderkey % 4 = 1 THEN 'intensity_only' WHEN o_orderkey % 4 = 2 THEN 'val_only' ELSE 'both_changed' END AS kind, o_orderstatus || '+Heat [i=' || (o_orderkey % 3)::VARCHAR || ',1]' AS said FROM orders WHERE o_orderstatus < 'H'""")
+@query("treatment_changes", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'same' WHEN o_orderkey % 4 = 1 THEN 'intensity_only' WHEN o_orderkey % 4 = 2 THEN 'val_only' ELSE 'both_changed' END AS kind, CASE WHEN o_orderstatus < 'Heat' THEN o_orderstatus || '+Heat [i=' || (o_orderkey % 3)::VARCHAR || ',1]' ELSE 'Heat+' || o_orderstatus || ' [i=1,' || (o_orderkey % 3)::VARCHAR || ']' END AS said FROM orders""")
 def _(spark, sf):
     k = F.col("o_orderkey") % 4
     one = lambda val, i: F.struct(val.alias("val"), i.cast("int").alias("intensity"))
     a = F.array(one(F.lit("Heat"), F.lit(1)), one(F.col("o_orderstatus"), F.col("o_orderkey") % 3))
     b = F.array(one(F.when(k >= 2, "Cold").otherwise("heat"), F.when(k % 2 == 1, 9).otherwise(1)), one(F.col("o_orderstatus"), F.col("o_orderkey") % 3))
-    return t(spark, sf, "orders").where("o_orderstatus < 'H'").select("o_orderkey", labels.change_of(a, b).alias("kind"), labels.readable(a).alias("said"))
+    return t(spark, sf, "orders").select("o_orderkey", labels.change_of(a, b).alias("kind"), labels.readable(a).alias("said"))
 
 
 @query("exclusive_states", "SELECT user_id AS study_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1")

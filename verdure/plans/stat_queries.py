@@ -131,22 +131,25 @@ def _(spark, sf):
     return enrich.best_proxy(terms, tree(spark, sf), p.select(F.col("p_partkey").alias("go_id"))).select("root", "go_id", "proxy")
 
 
-@query("recovery_table", """WITH p AS (SELECT p_type AS norm, p_partkey % 200 AS go_id, p_retailprice / 10000 AS fdr, p_size - 25.0 AS nes FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_partkey % 200 ORDER BY p_partkey) = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY fdr, go_id) AS term_rank FROM p), x AS (SELECT DISTINCT p_type AS norm, unnest([3, 50, 120])::BIGINT AS go_id FROM part)
+@query("recovery_table", """WITH p AS (SELECT p_type AS norm, p_size AS go_id, min(p_retailprice) / 10000 AS fdr, max(p_partkey) % 50 - 25.0 AS nes FROM part GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY fdr, go_id) AS term_rank FROM p), x AS (SELECT DISTINCT p_type AS norm, unnest(range((SELECT max(p_size) FROM part) + 3)) AS go_id FROM part)
 SELECT norm, go_id, term_rank, coalesce(fdr < 0.25 AND nes > 0, false) AS hit FROM x LEFT JOIN k USING (norm, go_id)""")
 def _(spark, sf):
-    from verdure.operators.ranks import first_per
-
-    p = t(spark, sf, "part").withColumn("go_id", F.col("p_partkey") % 200)
-    terms = first_per(p, ("p_type", "go_id"), "p_partkey").select(F.col("p_type").alias("norm"), "go_id", (F.col("p_retailprice") / 10000).alias("fdr"), (F.col("p_size") - 25.0).alias("nes"))
-    want = t(spark, sf, "part").select(F.col("p_type").alias("norm")).distinct().withColumn("go_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 50, 120)])))
+    """All types against all sizes up to the largest and a little beyond, so that some terms are absent."""
+    p = t(spark, sf, "part")
+    terms = p.groupBy(F.col("p_type").alias("norm"), F.col("p_size").cast("long").alias("go_id")).agg((F.min("p_retailprice") / 10000).alias("fdr"), (F.max("p_partkey") % 50 - 25.0).alias("nes"))
+    most = p.agg(F.max("p_size")).first()[0]
+    want = p.select(F.col("p_type").alias("norm")).distinct().withColumn("go_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most + 2).cast("long"))))
     return enrich.recovery(terms, want).select("norm", "go_id", "term_rank", "hit")
 
 
-@query("pass_fail_grid", "SELECT p_brand, coalesce(max(CASE WHEN p_type = 'ECONOMY' THEN (p_size > 45)::INT END), 0) AS economy, coalesce(max(CASE WHEN p_type = 'STANDARD' THEN (p_size > 45)::INT END), 0) AS standard FROM part GROUP BY 1")
+KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query("pass_fail_grid", "SELECT p_brand, " + ", ".join(f"coalesce(max(CASE WHEN p_type = '{k}' THEN (p_size > 45)::INT END), 0) AS {k.lower()}" for k in KINDS) + " FROM part GROUP BY 1")
 def _(spark, sf):
-    g = t(spark, sf, "part").groupBy("p_brand").pivot("p_type", ["ECONOMY", "STANDARD"]).agg(F.max((F.col("p_size") > 45).cast("int")))
-    return g.fillna(0).toDF("p_brand", "economy", "standard")
+    g = t(spark, sf, "part").groupBy("p_brand").pivot("p_type", list(KINDS)).agg(F.max((F.col("p_size") > 45).cast("int")))
+    return g.fillna(0).toDF("p_brand", *map(str.lower, KINDS))
 
 
 @query("cramers_v", """WITH n AS (SELECT c_mktsegment x, c_nationkey y, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT x, sum(n) nx FROM n GROUP BY 1), c AS (SELECT y, sum(n) ny FROM n GROUP BY 1), s AS (SELECT sum(n) t, count(DISTINCT x) r, count(DISTINCT y) c FROM n)

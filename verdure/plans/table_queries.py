@@ -341,10 +341,10 @@ def _(spark, sf):
     return d.groupBy("source").agg(F.count("*").alias("samples"), F.sum("diff").alias("diff_samples"), r(F.avg("diff"), 9).alias("conflict_rate"))
 
 
-@query("label_swaps_topk", "SELECT a.o_orderpriority AS v1, b.o_orderpriority AS v2, count(*) AS n FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 2 = 0 AND a.o_orderpriority <> b.o_orderpriority GROUP BY 1, 2 ORDER BY n DESC, v1, v2 LIMIT 5")
+@query("label_swaps_topk", "SELECT a.o_orderpriority AS v1, b.o_orderpriority AS v2, count(*) AS n FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderpriority <> b.o_orderpriority GROUP BY 1, 2 ORDER BY n DESC, v1, v2 LIMIT 5")
 def _(spark, sf):
     o = t(spark, sf, "orders")
-    a, b = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v1")), o.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_orderpriority").alias("v2"))
+    a, b = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v1")), o.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_orderpriority").alias("v2"))
     return a.join(b, "k").where("v1 <> v2").groupBy("v1", "v2").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v1", "v2").limit(5)
 
 
