@@ -297,3 +297,24 @@ def test_idle_machines_say_so_once():
     assert list(m.handleInputRows(("a", "g"), iter([event(2, "error")]), clock)) == [] and h.timers == {1070}
     assert [r.state for r in m.handleExpiredTimer(("a", "g"), clock, None)] == ["idle:processed"]
     assert [(r.state, r.n) for r in m.handleInputRows(("a", "g"), iter([event(9, "ignore", ["processed"])]), clock)] == [("processed", 3)]
+
+
+def test_upserts_and_drained_streams(spark, tmp_path):
+    from verdure.streaming import trackers
+
+    schema, src = "study string, code int, at long", tmp_path / "in"
+    drop = lambda n, rows: spark.createDataFrame(rows, schema).write.parquet(str(src / f"d{n}"))
+    follow = lambda: trackers.follow(spark, str(src / "*"), schema)
+    drop(0, [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)])
+    run = lambda: trackers.upsert_sink(follow(), str(tmp_path / "out"), "study", "at", str(tmp_path / "state")).awaitTermination()
+    run()
+    drop(1, [("a", 3, 3), ("b", 9, 0), ("c", 5, 5)])
+    run()
+    last = max(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
+    assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / last)).collect()) == [("a", 3, 3), ("b", 1, 1), ("c", 5, 5)]
+    state = trackers.drained(trackers.latest_state(follow(), "study", "code", "at"), "latest")
+    assert sorted((r.study, r.code) for r in state.collect()) == [("a", 3), ("b", 1), ("c", 5)]
+    assert trackers.drained(follow().where("code > 2"), "rows", "append").count() == 3
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(str(empty))
+    assert trackers.drained(trackers.latest_state(trackers.follow(spark, str(empty), schema), "study", "code", "at"), "none").count() == 0

@@ -7,20 +7,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdure.operators.ranks import average_rank, percent_rank_average
 
 
-def grid(spark: SparkSession) -> int:
-    """Blocks of rows for which the pairs of blocks (each pair once) are about as many as shuffle partitions."""
-    return max(8, math.isqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+#: Rows of a block: a pair of blocks is a few million pairs of rows, however many rows there are.
+BLOCK_ROWS = 2048
+
+
+def grid(v: DataFrame) -> int:
+    """Blocks of rows: as many as the rows ask for, and at least so many that the pairs of blocks (each pair once) are about as many as shuffle partitions."""
+    return max(8, math.isqrt(2 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-v.count() // BLOCK_ROWS))
 
 
 def _sides(v: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """v dealt over the pairs (_x, _y), _x <= _y, of blocks: as rows of block _x, and as rows of block _y."""
-    n = grid(v.sparkSession)
+    n = grid(v)
     d = v.withColumn("_k", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
     return d.withColumn("_y", F.explode(F.sequence("_k", F.lit(n - 1)))).withColumnRenamed("_k", "_x"), d.withColumn("_x", F.explode(F.sequence(F.lit(0), "_k"))).withColumnRenamed("_k", "_y")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdure.operators import tables
+from verdure.storage import fresh
 
 
 def follow(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_a_batch: int = 100) -> DataFrame:
@@ -46,7 +47,16 @@ def upsert_sink(df: DataFrame, path: str, key: str, order: str, checkpoint: str)
 
 
 def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return the table it made."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over what is there and return the table it made: of complete results the last, else all that was put out. Results and state go to the shared folder, not through the driver."""
+    spark, versions = df.sparkSession, []
+    path = fresh(spark, name)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={n}")
+        versions.append(n)
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", fresh(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not versions:
+        return spark.createDataFrame([], df.schema)
+    some = [max(versions)] if mode == "complete" else sorted(set(versions))
+    return spark.read.schema(df.schema).parquet(*[f"{path}/v={n}" for n in some])
