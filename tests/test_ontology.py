@@ -154,3 +154,11 @@ def test_large_groups_by_ranges(spark, rows):
     for g in ("a", "b", "c", None):
         mine = sorted((r for r in out if r.g == g), key=lambda r: (r.p is not None, r.p is not None and r.p != r.p, r.p if r.p == r.p else None, r.k) if r.p is None or r.p == r.p else (True, True, 0, r.k))
         assert [r.term_rank for r in mine] == list(range(1, len(mine) + 1)) and all(r.n_terms == len(mine) and abs(r.percentile - (r.term_rank - 1) / (len(mine) - 1) * 100) < 1e-9 for r in mine)
+
+
+def test_closure_of_cycles_and_long_chains(spark):
+    from verdure.operators.enrich import closure
+
+    for edges in ([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "a")], [(f"{k:03d}", f"{k + 1:03d}") for k in range(70)]):
+        got = [tuple(r) for r in closure(spark.createDataFrame(edges, "child string, parent string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_closure([e for e in edges if e[0]])

@@ -14,19 +14,19 @@ from verdure.storage import cut, uncut
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, ancestor) over all paths, every node with itself. Each round joins the pairs found so far with themselves, so a
-    path of n steps takes log2 n rounds and each pair is kept once however many paths lead to it; cycles do no harm."""
+    """(node, ancestor) over all paths, every node with itself. A round joins the pairs that the last one found with all pairs and writes those that
+    are new, so a path of n steps takes about log2 n rounds and a pair is written once however many paths lead to it; cycles do no harm."""
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL")
     own = e.select("node").union(e.select("ancestor")).distinct().select("node", F.col("node").alias("ancestor"))
-    now = cut(e.unionByName(own).distinct(), "closure")
-    n = now.count()
-    while True:
-        up = now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
-        new = cut(now.join(up, "ancestor").select("node", F.col("_far").alias("ancestor")).distinct(), "closure")
-        uncut(now)
-        now, last, n = new, n, new.count()
-        if n == last:
-            return now
+    every = cut(own, "closure")
+    new = cut(e.distinct().join(every, ["node", "ancestor"], "left_anti"), "closure")
+    while not new.isEmpty():
+        every = every.unionByName(new)
+        up = every.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
+        found = new.join(up, "ancestor").select("node", F.col("_far").alias("ancestor")).distinct()
+        new = cut(found.join(every, ["node", "ancestor"], "left_anti"), "closure")
+    uncut(new)
+    return every
 
 
 def propagate(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term: str = "go_id") -> DataFrame:
