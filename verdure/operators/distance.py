@@ -6,10 +6,12 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdure.functions.special import betainc
 from verdure.operators.ranks import average_rank, percent_rank_average
 
 
@@ -97,10 +99,15 @@ def separation(p: DataFrame, distance: str = "distance", similarity: str = "simi
     return p.agg((F.sum(d * s) / F.sum(d * (1 - s))).alias("separation"), F.corr(d, s).alias("pearson"), F.count("*").alias("n_pairs"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, NULL where a side stands still (corr is an error there)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def spearman(p: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: the correlation of average ranks."""
+    """One row: the correlation of average ranks, NULL where a side stands still."""
     r = average_rank(average_rank(p.select(x, y), x, "_rx"), y, "_ry")
-    return r.agg(F.corr("_rx", "_ry").alias("spearman"))
+    return r.agg(correlation("_rx", "_ry").alias("spearman"))
 
 
 def pooled(p: DataFrame, pool: Column, distance: str = "distance", similarity: str = "similarity") -> DataFrame:
@@ -110,6 +117,31 @@ def pooled(p: DataFrame, pool: Column, distance: str = "distance", similarity: s
     return each.agg(F.avg("g").alias("g")).crossJoin(F.broadcast(p.agg(F.avg(distance).alias("d")))).select((F.col("g") / F.col("d")).alias("pooled"))
 
 
+def evaluation(p: DataFrame, same_study: Column, distance: str = "distance", similarity: str = "similarity") -> DataFrame:
+    """One row of pairs (a, b, distance, similarity): dist_bar, g_inter, g_intra, separation, pearson, pearson_p, spearman, spearman_p, n_pairs, n_samples, n_alone.
+
+    g_inter and g_intra: of each sample the mean d s over its pairs across or within studies, summed over the samples that have such pairs, over the number
+    of all samples and dist_bar. n_alone: samples without a pair within their study. p: two-sided, by t with n - 2 degrees of freedom. A figure whose divisor
+    is 0 is NULL, as are correlations where a side stands still or fewer than three pairs are there (p). Pairs with a null are left out.
+    """
+    x = p.select("a", "b", F.col(distance).cast("double").alias("d"), F.col(similarity).cast("double").alias("s"), F.coalesce(same_study, F.lit(False)).alias("own")).dropna(subset=["d", "s"])
+    ds = F.col("d") * F.col("s")
+    flat = x.agg(
+        F.avg("d").alias("dist_bar"), F.try_divide(F.sum(ds), F.nullif(F.sum("d") - F.sum(ds), F.lit(0.0))).alias("separation"), correlation("d", "s").alias("pearson"), F.count("*").alias("n_pairs")
+    )
+    each = x.select(F.explode(F.array("a", "b")).alias("i"), "own", ds.alias("ds")).groupBy("i").agg(F.avg(F.when(~F.col("own"), F.col("ds"))).alias("x"), F.avg(F.when(F.col("own"), F.col("ds"))).alias("o"))
+    pools = each.agg(F.count("*").alias("n_samples"), F.sum("x").alias("x"), F.sum("o").alias("o"), F.count_if(F.col("o").isNull()).alias("n_alone"))
+    row = flat.crossJoin(F.broadcast(pools)).crossJoin(F.broadcast(spearman(x, "d", "s")))
+
+    @F.pandas_udf("double")
+    def two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
+        df = np.maximum(n.to_numpy(float) - 2, 1)
+        return pd.Series(np.where(n > 2, betainc(df / 2, 0.5, np.clip(1 - r.to_numpy(float) ** 2, 0, 1)), np.nan)).where(r.notna().to_numpy() & (n > 2).to_numpy())
+
+    share = lambda c: F.try_divide(F.try_divide(F.col(c), F.col("n_samples")), F.nullif("dist_bar", F.lit(0.0))).alias("g_inter" if c == "x" else "g_intra")
+    return row.select("dist_bar", share("x"), share("o"), "separation", "pearson", two_sided("pearson", "n_pairs").alias("pearson_p"), "spearman", two_sided("spearman", "n_pairs").alias("spearman_p"), "n_pairs", "n_samples", "n_alone")
+
+
 def silhouette(p: DataFrame, labels: DataFrame, key: str = "sample_id", label: str = "class") -> DataFrame:
     """(sample, label, s): exact silhouettes from pair distances; 0 for a label of one sample."""
     way = p.select("a", "b", "distance").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
