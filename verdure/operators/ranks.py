@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdure.storage import cut
+
 
 def percent_rank_average(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("sample_id",), out: str = "pct") -> DataFrame:
     """Rank over count within `by`, ties at their average; NULL and NaN get NULL."""
@@ -48,7 +50,7 @@ def group_ranges(df: DataFrame, value: str, by: tuple[str, ...], rows: int | Non
     large = df.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") > rows).select(*by)
     marks = [k / parts for k in range(1, parts)] or [0.5]
     bounds = df.join(large, list(by), "left_semi").groupBy(*by).agg(F.percentile_approx(F.when(~F.isnan(v), v), marks, 20 * parts).alias("_q"))
-    d = df.join(bounds, list(by), "left")
+    d = df.join(cut(bounds, "bounds"), list(by), "left")  # written: percentile_approx worked out twice can give two sets of bounds
     at = F.when(F.col("_q").isNull(), 0).when(v.isNull(), -1).when(F.isnan(v), 1 << 30).otherwise(F.size(F.filter("_q", lambda x: x < v)))
     d = d.withColumn("_b", at)
     w = Window.partitionBy(*by).orderBy("_b")
