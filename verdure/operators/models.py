@@ -49,9 +49,13 @@ def combat(m: DataFrame, samples: DataFrame, batch: str = "study_id", covariates
         return pd.DataFrame({"gene_id": np.repeat(wide.index.to_numpy(), len(s)), "sample_id": np.tile(s["sample_id"].to_numpy(), len(wide)), "value": y.ravel(), "z": z.ravel(), "sd": sd.ravel(), "mean": (mean + np.zeros_like(y)).ravel()})
 
     kinds = dict(m.dtypes)
-    groups = F.pmod(F.xxhash64("gene_id"), F.lit(1 << 30)) % max(1, m.select("gene_id").distinct().count() // genes_a_group)
-    cells = m.select("gene_id", "sample_id", F.col("value").cast("double")).groupBy(groups.alias("g")).applyInPandas(standardise, f"gene_id {kinds['gene_id']}, sample_id {kinds['sample_id']}, value double, z double, sd double, mean double")
-    cells = cells.join(F.broadcast(samples.select("sample_id", F.col(batch).alias("_b"))), "sample_id")
+    m = m.select("gene_id", "sample_id", F.col("value").cast("double"))
+    if x.shape[1] == n_batch:  # means and spreads by batch are the whole fit
+        cells = _standardised_by_batch(m.join(F.broadcast(samples.select("sample_id", F.col(batch).alias("_b"))), "sample_id"), len(s))
+    else:
+        groups = F.pmod(F.xxhash64("gene_id"), F.lit(1 << 30)) % max(1, m.select("gene_id").distinct().count() // genes_a_group)
+        cells = m.groupBy(groups.alias("g")).applyInPandas(standardise, f"gene_id {kinds['gene_id']}, sample_id {kinds['sample_id']}, value double, z double, sd double, mean double")
+        cells = cells.join(F.broadcast(samples.select("sample_id", F.col(batch).alias("_b"))), "sample_id")
     stats = cells.where("sd > 1e-12").groupBy("gene_id", "_b").agg(F.count("*").alias("n"), F.avg("z").alias("g"), F.var_samp("z").alias("d"))
     prior = stats.groupBy("_b").agg(F.avg("g").alias("gbar"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("t2"), F.avg("d").alias("dm"), F.coalesce(F.var_samp("d"), F.lit(0.0)).alias("dv"))
     stats = stats.join(F.broadcast(prior), "_b")
@@ -76,6 +80,17 @@ def combat(m: DataFrame, samples: DataFrame, batch: str = "study_id", covariates
     return out.select("gene_id", "sample_id", F.coalesce(fixed, F.col("value")).alias("value"))
 
 
+def _standardised_by_batch(cells: DataFrame, n_samples: int) -> DataFrame:
+    """cells (gene_id, sample_id, _b, value) with z, sd, mean: of a gene only the sums by batch are brought together. A gene without a value for each sample is an error."""
+    by = cells.groupBy("gene_id", "_b").agg(F.count(F.nanvl("value", F.lit(None))).alias("_k"), F.count("*").alias("_rows"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    k = F.sum("_k")
+    gene = by.groupBy("gene_id").agg((F.sum(F.col("_k") * F.col("_m")) / k).alias("mean"), F.sqrt(F.sum(F.col("_k") * F.col("_v")) / k).alias("sd"), k.alias("_k"), F.sum("_rows").alias("_rows"))
+    whole = (F.col("_k") == n_samples) & (F.col("_rows") == n_samples)
+    gene = gene.select("gene_id", F.when(whole, F.col("mean")).otherwise(F.raise_error(F.lit("a gene has missing cells")).cast("double")).alias("mean"), "sd")
+    z = (F.col("value") - F.col("mean")) / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
+    return cells.join(gene, "gene_id").select("gene_id", "sample_id", "value", z.alias("z"), "sd", "mean", "_b")
+
+
 def rank_in(m: DataFrame, n_bins: int = 100, k: int | None = None, k_max: int = 10, by: str = "class") -> DataFrame:
     """Rank-In: weighted ranks less the k leading directions of what is left after class means.
 
