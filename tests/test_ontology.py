@@ -162,3 +162,22 @@ def test_closure_of_cycles_and_long_chains(spark):
     for edges in ([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "a")], [(f"{k:03d}", f"{k + 1:03d}") for k in range(70)]):
         got = [tuple(r) for r in closure(spark.createDataFrame(edges, "child string, parent string")).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_closure([e for e in edges if e[0]])
+
+
+def test_lists_with_kept_ancestors_read_edges_once(spark):
+    from verdure.operators.enrich import ancestor_lists
+
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "d"), ("x", "b"), ("e", "e")]
+    got = {r.node: sorted(r.ancestors) for r in ancestor_lists(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([("d",), ("a",)], "ancestor string")).collect()}
+    want = brute_closure(edges)
+    assert got == {n: sorted(a for m, a in want if m == n and a in "ad") for n in "abcdex"}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    chain = spark.createDataFrame([(f"{k:02d}", f"{k + 1:02d}") for k in range(6)], "child string, parent string").mapInPandas(counted, "child string, parent string")
+    terms = spark.createDataFrame([(f"{k:02d}", "x") for k in range(7)], "go_id string, namespace string")
+    assert ontology.scoped_closure(chain, terms, spark.createDataFrame([("06",)], "k string"), ("x",)).count() == 28 and read.value == 6

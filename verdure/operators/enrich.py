@@ -13,20 +13,36 @@ from verdure.operators.ranks import first_per, rank_percentile
 from verdure.storage import cut, uncut
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, ancestor) over all paths, every node with itself. A round joins the pairs that the last one found with all pairs and writes those that
-    are new, so a path of n steps takes about log2 n rounds and a pair is written once however many paths lead to it; cycles do no harm."""
+def ancestor_lists(edges: DataFrame, keep: DataFrame | None = None, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestors) of every node of the edges: itself and all above it, each once, over all paths; of those in keep (ancestor) alone, if given, whatever lies between.
+
+    A node holds what is less than 2^k steps above it (near) and what is just 2^k steps above (far). A round asks those that are far for both of their lists, so
+    a path of n steps takes about log2 n rounds, a list crosses the network once for each node that asks, and pairs are never brought together in order to be told apart.
+    Nodes with nothing far are done and not written again; those that nobody asks are not sent.
+    """
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL")
-    own = e.select("node").union(e.select("ancestor")).distinct().select("node", F.col("node").alias("ancestor"))
-    every = cut(own, "closure")
-    new = cut(e.distinct().join(every, ["node", "ancestor"], "left_anti"), "closure")
-    while not new.isEmpty():
-        every = every.unionByName(new)
-        up = every.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
-        found = new.join(up, "ancestor").select("node", F.col("_far").alias("ancestor")).distinct()
-        new = cut(found.join(every, ["node", "ancestor"], "left_anti"), "closure")
-    uncut(new)
-    return every
+    e = cut(e.distinct(), "edges")
+    own = e.select("node").union(e.select("ancestor")).distinct()
+    own = own.withColumn("near", F.array("node")) if keep is None else own.join(keep.select(F.col("ancestor").alias("node"), F.lit(True).alias("_k")).distinct(), "node", "left").select("node", F.when(F.col("_k"), F.array("node")).otherwise(F.array().cast(f"array<{dict(e.dtypes)['node']}>")).alias("near"))
+    up = e.where("node <> ancestor").groupBy("node").agg(F.collect_list("ancestor").alias("far"))
+    below = e.select(F.col("ancestor").alias("node"), F.lit(True).alias("asked")).distinct()
+    now = own.join(up, "node", "left").join(below, "node", "left")
+    now = cut(now.select("node", "near", F.coalesce("far", F.array().cast(dict(up.dtypes)["far"])).alias("far"), F.coalesce("asked", F.lit(False)).alias("asked")), "closure")
+    uncut(e)
+    done, asking, most, steps = now.where(F.size("far") == 0), now.where(F.size("far") > 0), now.count(), 1
+    while steps < most and not asking.isEmpty():
+        told = done.unionByName(asking).where(F.col("asked") & (F.size("near") + F.size("far") > 0)).select(F.col("node").alias("_to"), "near", "far")
+        rows = asking.select(F.col("node").alias("_of"), F.explode("far").alias("_to")).join(told, "_to").select(F.col("_of").alias("node"), "near", "far", F.lit(False).alias("asked"))
+        rows = rows.unionByName(asking.withColumn("far", F.slice("far", 1, 0))).repartition("node")
+        met = rows.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.flatten(F.collect_list("far")).alias("far"), F.max("asked").alias("asked"))
+        now = cut(met.select("node", "near", F.array_remove(F.array_except("far", "near"), F.col("node")).alias("far"), "asked"), "closure")
+        done, asking, steps = done.unionByName(now.where(F.size("far") == 0)), now.where(F.size("far") > 0), 2 * steps
+    return done.unionByName(asking).select("node", F.col("near").alias("ancestors"))
+
+
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestor) over all paths, every node with itself, each pair once; cycles do no harm."""
+    return ancestor_lists(edges, None, child, parent).select("node", F.explode("ancestors").alias("ancestor"))
 
 
 def propagate(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term: str = "go_id") -> DataFrame:

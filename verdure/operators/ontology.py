@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdure.operators.enrich import closure
+from verdure.operators.enrich import ancestor_lists
 from verdure.storage import cut, uncut
 
 #: What stands for no label when axes are flattened, and the label of those that have none.
@@ -105,23 +105,33 @@ def reach(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str
         seen, now = seen.unionByName(new), new
 
 
-def scoped_closure(edges: DataFrame, terms: DataFrame, roots: DataFrame | None = None, namespaces: tuple[str, ...] = (), child: str = "child", parent: str = "parent", term: str = "go_id") -> DataFrame:
-    """(node, ancestor) of known terms (term, namespace), every term with itself, whose ancestor is a root or below one, and of one of the namespaces.
+def scoped_lists(edges: DataFrame, terms: DataFrame, roots: DataFrame | None = None, namespaces: tuple[str, ...] = (), child: str = "child", parent: str = "parent", term: str = "go_id") -> DataFrame:
+    """(node, ancestors) of known terms (term, namespace), every term with itself, whose ancestor is a root or below one, and of one of the namespaces; a list may be empty.
 
-    Edges outside what the roots reach are dropped before anything is joined up: what lies between a term and an ancestor below a root is below it too. Namespaces can be crossed on the way, so they are looked up at the end.
+    Edges outside what the roots reach are dropped before anything is carried up: what lies between a term and an ancestor below a root is below it too. Namespaces can be crossed on the way, so only lists go without the others.
     """
     known = terms.select(F.col(term).alias("node")).distinct()
-    e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent"))
+    e = cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")), "edges")
     if roots is not None:
-        known = reach(e, roots.toDF("node").join(known, "node", "left_semi")).join(known, "node", "left_semi")
+        known = cut(reach(e, roots.toDF("node").join(known, "node", "left_semi")).join(known, "node", "left_semi"), "scope")
         for c in ("child", "parent"):
             e = e.join(known.withColumnRenamed("node", c), c, "left_semi")
-    up = closure(e).unionByName(known.select("node", F.col("node").alias("ancestor"))).distinct().join(known, "node", "left_semi")
-    if namespaces:
-        up = up.join(terms.where(F.col("namespace").isin(*namespaces)).select(F.col(term).alias("ancestor")).distinct(), "ancestor", "left_semi")
-    return up.select("node", "ancestor")
+    keep = terms.where(F.col("namespace").isin(*namespaces)).select(F.col(term).alias("ancestor")) if namespaces else None
+    lists = ancestor_lists(e, keep)
+    if roots is None:
+        lists = lists.join(known, "node", "left_semi")
+    alone = known.join(lists.select("node"), "node", "left_anti").select("node", F.col("node").alias("ancestor"))
+    alone = alone if keep is None else alone.join(keep, "ancestor", "left_semi")
+    return lists.unionByName(alone.select("node", F.array("ancestor").alias("ancestors")))
+
+
+def scoped_closure(edges: DataFrame, terms: DataFrame, roots: DataFrame | None = None, namespaces: tuple[str, ...] = (), child: str = "child", parent: str = "parent", term: str = "go_id") -> DataFrame:
+    """(node, ancestor): the pairs of scoped_lists, each once."""
+    return scoped_lists(edges, terms, roots, namespaces, child, parent, term).select("node", F.explode("ancestors").alias("ancestor"))
 
 
 def propagated(annotation: DataFrame, up: DataFrame, gene: str = "gene_id", term: str = "go_id") -> DataFrame:
-    """(gene, term): annotations carried to all ancestors within the scope of `up`; terms outside it are left out."""
-    return annotation.join(up, F.col(term) == F.col("node")).select(gene, F.col("ancestor").alias(term)).distinct()
+    """(gene, term): annotations carried to all ancestors within the scope of `up`, as lists or as pairs; terms outside it are left out. A gene's lists are sent, and told apart where they arrive."""
+    up = up if "ancestors" in up.columns else up.select("node", F.array("ancestor").alias("ancestors"))
+    met = annotation.select(gene, term).distinct().join(up, F.col(term) == F.col("node")).where(F.size("ancestors") > 0)
+    return met.select(gene, "ancestors").repartition(gene).select(gene, F.explode("ancestors").alias(term)).distinct()
