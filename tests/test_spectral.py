@@ -60,3 +60,20 @@ def test_rank_in_truncated(spark):
     assert some.count() == 50 * 14 - 2 and some.where(F.col("value").isNull()).count() == 0
     flat = spectral.rank_in_truncated(frame(spark, np.ones((4, 3))))
     assert {r.value for r in flat.collect()} == {63.0}
+
+
+def test_few_genes_of_many_samples(spark, monkeypatch):
+    """The directions are those of the smaller side; the result is that of numpy either way."""
+    x = np.random.default_rng(6).normal(5, 2, (9, 70)) + np.arange(9)[:, None]
+    bins = np.empty_like(x)
+    for j in range(70):
+        bins[:, j] = np.ceil([((x[:, j] < a).sum() + ((x[:, j] == a).sum() + 1) / 2) / 9 * 20 for a in x[:, j]])
+    mean = bins.mean(axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd(bins - mean, full_matrices=False)
+    k = int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= 0.8)) + 1
+    want, wide, plain = (u[:, :k] * s[:k]) @ vt[:k] + mean, [], spectral.directions
+    monkeypatch.setattr(spectral, "directions", lambda rows, n, **kw: wide.append(n) or plain(rows, n, **kw))
+    got = np.full(x.shape, np.nan)
+    for r in spectral.rank_in_truncated(frame(spark, x), 20, 0.8).collect():
+        got[int(r.gene_id[1:]), r.sample_id] = r.value
+    assert wide == [9] and 1 < k < 9 and np.allclose(got, want, atol=1e-6)

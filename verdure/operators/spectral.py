@@ -109,13 +109,14 @@ def rank_in_truncated(m: DataFrame, n_bins: int = 100, share: float = 0.95) -> D
     """(gene_id, sample_id, value): rank bins within samples, of which only the leading directions are kept that hold `share` of their spread around the genes' means.
 
     m: gene_id, sample_id, value; null and NaN values are left out and count as their gene's mean. Without spread the means are returned.
+    The directions are those over genes or over samples, whichever are fewer (the cells that are kept are the same), so tasks hold the fewer x directions.
     """
     r = rank_bins(m, n_bins, "value", ("sample_id",), "r").where("r IS NOT NULL")
     mean = r.groupBy("gene_id").agg(F.avg("r").alias("mean"))
     cells = r.join(mean, "gene_id").select("gene_id", "sample_id", (F.col("r") - F.col("mean")).alias("c"), "mean")
-    rows, names = wide_rows(cells, "c", carry=("mean",))
+    few, many = ("gene_id", "sample_id") if m.select("gene_id").distinct().count() <= m.select("sample_id").distinct().count() else ("sample_id", "gene_id")
+    rows, names = wide_rows(cells, "c", gene=many, sample=few, carry=("mean",))
     _, u = directions(rows, len(names), share=share)
-    kind = dict(m.dtypes)["sample_id"]
-    index = m.sparkSession.createDataFrame(list(zip(range(len(names)), names, strict=True)), f"i int, sample_id {kind}")
-    back = projected(rows, u).select("gene_id", F.explode(F.arrays_zip("i", "p", "mean")).alias("x")).select("gene_id", "x.i", (F.col("x.p") + F.col("x.mean")).alias("value"))
+    index = m.sparkSession.createDataFrame(list(zip(range(len(names)), names, strict=True)), f"i int, {few} {dict(m.dtypes)[few]}")
+    back = projected(rows, u).select(many, F.explode(F.arrays_zip("i", "p", "mean")).alias("x")).select(many, "x.i", (F.col("x.p") + F.col("x.mean")).alias("value"))
     return back.join(index, "i").select("gene_id", "sample_id", "value")
