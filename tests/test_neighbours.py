@@ -66,3 +66,12 @@ def test_two_fold_purity(spark, points):
         assert got[f] == (len(want), pytest.approx(np.mean([says[q] == label[q] for q in says])))
     by_index = {r.fold: r.accuracy for r in neighbours.two_fold_purity(df, F.col("sample_id") % 2, 5, probes=4).collect()}
     assert all(abs(by_index[f] - got[f][1]) < 0.05 for f in (0, 1))
+
+
+def test_recall_asks_for_each_hundredth(spark):
+    from verdure import plans
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    rows = plans.QUERIES["knn_index_recall"](spark, sf).collect()
+    assert n and {r.n for r in rows} == {n} and {r["rank"] for r in rows} == {1, 2, 3, 4, 5} and rows[0].recall >= 0.9

@@ -76,7 +76,7 @@ class Index:
             for j in np.unique(at).tolist():
                 c[j] = x[at == j].mean(0)
         self.centres = np.unique(c, axis=0)
-        filed = self.filed(base, 1)
+        filed = cut(self.filed(base, 1), "index")
         size = filed.groupBy("_c").agg(F.count("*").alias("_s"))
         self.parts = size.select("_c", F.ceil(F.col("_s") / BLOCK).cast("int").alias("_n"))
         self.base = filed.join(self.parts, "_c").withColumn("_p", F.pmod(F.xxhash64(key), F.col("_n")).cast("int")).drop("_n")
