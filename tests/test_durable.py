@@ -87,3 +87,13 @@ def test_matrix_files_with_their_own_headers(spark, tmp_path, block):
     assert got == a | b and few == {("g1", "s9"), ('g"4', "s9"), ("gene", "s9")}
     with pytest.raises(Exception, match="no column s9"):
         readers.wide_csv(spark, str(tmp_path), gene="s9").collect()
+
+
+def test_many_lists_in_few_files(spark, tmp_path):
+    """The number of files is that of partitions, not of studies; lists stay whole and in order."""
+    path = str(tmp_path / "lists")
+    rows = [(f"GSE{k % 300}", f"SRR{k}", k) for k in range(3000)]
+    durable.write_missing_lists(spark.createDataFrame(rows, "study_id string, sample string, at long").repartition(7), path, "at")
+    assert len([x for x in (tmp_path / "lists").iterdir() if x.name.startswith("part-")]) <= 4
+    got = {r.study_id: (r.samples, r.n) for r in durable.missing_lists(spark, path).collect()}
+    assert got == {f"GSE{j}": ([f"SRR{k}" for k in range(j, 3000, 300)], 10) for j in range(300)}

@@ -48,8 +48,8 @@ def _(spark, sf):
 @query("missing_samples_scan", "SELECT 'GSE' || user_id AS study_id, string_agg('SRR' || event_id, ',' ORDER BY event_id) AS samples, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
 def _(spark, sf):
     path = fresh(spark, "missing")
-    e = t(spark, sf, "events").where("event_type = 'error'").select(F.concat(F.lit("GSE"), F.col("user_id").cast("string"), F.lit("_missing_samples.txt")).alias("file"), "event_id", F.concat(F.lit("SRR"), F.col("event_id").cast("string")).alias("value"))
-    e.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    e = t(spark, sf, "events").where("event_type = 'error'").select(F.concat(F.lit("GSE"), F.col("user_id").cast("string")).alias("study_id"), F.concat(F.lit("SRR"), F.col("event_id").cast("string")).alias("sample"), "event_id")
+    durable.write_missing_lists(e, path, "event_id")
     return durable.missing_lists(spark, path).select("study_id", F.array_join("samples", ",").alias("samples"), "n")
 
 

@@ -117,10 +117,18 @@ def missing_now(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy("study_id").agg(F.array_sort(F.collect_set("sample")).alias("samples"), F.count_distinct("sample").alias("n"))
 
 
+def write_missing_lists(df: DataFrame, path: str, order: str) -> None:
+    """df (study_id, sample) as lists in order, in as many text files as there are partitions and not one a study: lines <study>_missing_samples.txt:<sample>. A study's list is in one file."""
+    d = df.select(F.concat("study_id", F.lit("_missing_samples.txt")).alias("file"), "sample", order)
+    d.repartition("file").sortWithinPartitions("file", order).select(F.concat_ws(":", "file", "sample").alias("value")).write.text(path)
+
+
 def missing_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(study_id, samples, n) of files <study>_missing_samples.txt, a sample a line in order; blank lines go, and files without a sample have no row."""
-    raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"([^/=]+)_missing_samples\.txt", 1).alias("study_id"), F.monotonically_increasing_id().alias("i"), F.trim("value").alias("sample"))
-    lists = raw.where("study_id <> '' AND sample <> ''").groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("i", "sample"))).alias("s"))
+    """(study_id, samples, n) of files <study>_missing_samples.txt, a sample a line in order, or of files of write_missing_lists, which hold many; blank lines go, and files without a sample have no row."""
+    name = r"([^/=:]+)_missing_samples\.txt"
+    own = F.regexp_extract("value", f"^{name}:", 1)
+    raw = spark.read.text(path).select(F.when(own != "", own).otherwise(F.regexp_extract("_metadata.file_path", name, 1)).alias("study_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), F.trim(F.regexp_replace("value", f"^{name}:", "")).alias("sample"))
+    lists = raw.where("study_id <> '' AND sample <> ''").groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("at", "i", "sample"))).alias("s"))
     return lists.select("study_id", F.transform("s", lambda x: x["sample"]).alias("samples"), F.size("s").cast("long").alias("n"))
 
 
