@@ -1,7 +1,7 @@
 """Labels given as JSON, held against an ontology: parsed, validated, flattened; annotations carried up within a scope.
 
 JSON stays a Variant until each item's kind is known, so lists, single values, objects and objects in lists are told apart
-without a schema. Canonical names are a joined table; what is brought together again is one label of one document.
+without a schema. Canonical names are an ontology's, gathered and sent along; a document is worked on where it stands.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def parsed(text: Column) -> Column:
 
 
 def _unquoted(c: Column) -> Column:
-    return F.regexp_replace(c, r"""^["'\s]+|["'\s]+$""", "")
+    return F.btrim(c, F.lit("\"' \t\n\x0b\f\r"))
 
 
 def _items(value: Column) -> Column:
@@ -42,55 +42,73 @@ def _whole_number(item: Column, path: str) -> Column:
     return F.when(kind == "STRING", digits).when(kind == "BOOLEAN", F.try_variant_get(item, path, "boolean").cast("long")).otherwise(F.try_variant_get(item, path, "double").try_cast("long"))
 
 
+def _canonical(names: list, low: Column) -> Column:
+    """The name of these letters, else 'unspecified'. names: (letters, name, crc32 of the letters), kept in maps of a few entries each."""
+    n = 1 + len(names) // 16
+    parts = [[F.lit(x) for r in names if r[2] % n == k for x in r[:2]] for k in range(n)]
+    maps = F.array(*[F.create_map(*part).cast("map<string,string>") for part in parts])
+    return F.coalesce(F.element_at(F.get(maps, (F.crc32(low) % n).cast("int")), low), F.lit(UNSPECIFIED))
+
+
+def _held(items: Column, names: list, subs: dict[str, list], best: str | None, rest: str) -> Column:
+    """Items as {i, val, subs, s}: their place, name, sub-attributes and, as a number, the sub-attribute `best`; items named `rest` have its first allowed value."""
+
+    def read(x):
+        name = F.when(x["is_object"], F.coalesce(F.try_variant_get(x["item"], "$.val", "string"), F.lit(UNSPECIFIED))).otherwise(F.try_variant_get(x["item"], "$", "string"))
+        given = lambda sub, first: (_whole_number(x["item"], f"$.{sub}") if isinstance(first, int) else F.try_variant_get(x["item"], f"$.{sub}", "string")).cast("string")
+        return F.struct(F.lower(_unquoted(name)).alias("low"), *[F.when(x["is_object"], given(sub, allowed[0])).alias(sub) for sub, allowed in subs.items()])
+
+    def named(x):
+        good = [F.when(x[sub].isin([str(a) for a in allowed]), x[sub]).otherwise(str(allowed[0])).alias(sub) for sub, allowed in subs.items()]
+        return F.struct(_canonical(names, x["low"]).alias("val"), *good)
+
+    def with_subs(x, i):
+        held = {sub: F.when(F.lower(x["val"]) == rest.lower(), str(allowed[0])).otherwise(x[sub]) if sub == best else x[sub] for sub, allowed in subs.items()}
+        pairs = F.create_map(*[c for sub, value in held.items() for c in (F.lit(sub), value)]).cast("map<string,string>")
+        return F.struct(i.alias("i"), x["val"].alias("val"), pairs.alias("subs"), (held[best] if best else F.lit(None)).cast("long").alias("s"))
+
+    known = F.transform(items, lambda x: F.struct(x.alias("item"), F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)).alias("is_object")))
+    return F.transform(F.transform(F.transform(known, read), named), with_subs)
+
+
 def validated(df: DataFrame, json: str, canonical: DataFrame, subs: dict[str, dict[str, list]] | None = None, key: str = "id", strongest: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """(key, axis, items): for each axis of canonical (axis, name) the items of its label, {val, subs}.
+    """(key, axis, items): for each row and axis of canonical (axis, name) the items of its label, {val, subs}.
 
-    val is the canonical name of the same letters, whatever their case, quotes and blanks around it, else 'unspecified'. subs: for
-    an axis, its sub-attributes and their allowed values, all whole numbers or all text; a value that isn't allowed is the first
+    val is the canonical name of the same letters, whatever their case, quotes and blanks around it, else 'unspecified'; of names of the same
+    letters the least. subs: for an axis, its sub-attributes and their allowed values, all whole numbers or all text; a value that isn't allowed is the first
     one allowed. strongest: for an axis (sub-attribute, rest): of items of one name the one with the largest sub-attribute stays, where the
     first of them stood, and items named `rest` have the first allowed value. No item at all, no JSON or NULL: one item 'unspecified'.
-    Rows are told apart by key.
+    A row is worked on where it stands and nothing is shuffled; the names of the ontology are gathered and sent along.
     """
     subs, strongest = subs or {}, strongest or {}
-    axes = [r[0] for r in canonical.select("axis").distinct().orderBy("axis").collect()]
-    v = df.select(key, parsed(F.col(json)).alias("v"))
-    each = v.select(key, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.try_variant_get("v", f"$.{a}", "variant").alias("value")) for a in axes])).alias("a")).select(key, "a.*")
-    items = each.select(key, "axis", F.posexplode_outer(_items(F.col("value"))).alias("i", "item"))
-    item = F.col("item")
-    kind = F.schema_of_variant(item)
-    named = F.when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(item, "$.val", "string"), F.lit(UNSPECIFIED))).otherwise(F.try_variant_get(item, "$", "string"))
-    pairs = []
-    for axis, own in subs.items():
-        for sub, allowed in own.items():
-            number = isinstance(allowed[0], int)
-            given = F.when(kind.startswith("OBJECT"), (_whole_number(item, f"$.{sub}") if number else F.try_variant_get(item, f"$.{sub}", "string")).cast("string"))
-            good = F.when(given.isin([str(a) for a in allowed]), given).otherwise(str(allowed[0]))
-            pairs.append(F.when(F.col("axis") == axis, F.struct(F.lit(sub).alias("key"), good.alias("value"))))
-    held = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull())) if pairs else F.create_map().cast("map<string,string>")
-    items = items.select(key, "axis", "i", F.lower(_unquoted(named)).alias("_low"), held.alias("subs"))
-    names = canonical.select("axis", F.lower("name").alias("_low"), F.col("name").alias("val")).dropDuplicates(["axis", "_low"])
-    items = items.join(names, ["axis", "_low"], "left").withColumn("val", F.coalesce("val", F.lit(UNSPECIFIED)))
-    for axis, (sub, rest) in strongest.items():
-        lowest = F.transform_values("subs", lambda k, x: F.when(k == sub, str(subs[axis][sub][0])).otherwise(x))  # noqa: B023
-        items = items.withColumn("subs", F.when((F.col("axis") == axis) & (F.lower("val") == rest.lower()), lowest).otherwise(F.col("subs")))
-    together = items.groupBy(key, "axis").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("i", F.lit(0)).alias("i"), "val", F.map_entries("subs").alias("e")))).alias("x"))
-    out = F.col("x")
-    for axis, (sub, _) in strongest.items():
-        strength = lambda x: F.element_at(F.map_from_entries(x["e"]), sub).cast("long")  # noqa: B023, E731
-        best = F.filter("x", lambda x: ~F.exists("x", lambda y: (y["val"] == x["val"]) & ((strength(y) > strength(x)) | ((strength(y) == strength(x)) & (y["i"] < x["i"])))))
-        first = F.transform(best, lambda b: F.struct(F.array_min(F.transform(F.filter("x", lambda y: y["val"] == b["val"]), lambda y: y["i"])).alias("i"), b["val"].alias("val"), b["e"].alias("e")))
-        out = F.when(F.col("axis") == axis, F.array_sort(first)).otherwise(out)
-    return together.select(key, "axis", F.transform(out, lambda x: F.struct(x["val"].alias("val"), F.map_from_entries(x["e"]).alias("subs"))).alias("items"))
+    known = canonical.groupBy("axis", F.lower("name").alias("low")).agg(F.min("name").alias("name")).select("axis", "low", "name", F.crc32("low").alias("crc")).collect()
+    axes = sorted({r.axis for r in known})
+    at = [(f"_{k}", a, *strongest.get(a, (None, ""))) for k, a in enumerate(axes)]
+    v = df.select(key, parsed(F.col(json)).alias("_v")).select(key, *[F.try_variant_get("_v", f"$.{a}", "variant").alias(c) for c, a, *_ in at])
+    v = v.select(key, *[_items(F.col(c)).alias(c) for c, *_ in at])
+    none = F.array(F.lit(None).cast("variant"))
+    names = {a: [(r.low, r.name, r.crc) for r in known if r.axis == a and r.low is not None] for a in axes}
+    v = v.select(key, *[_held(F.when(F.size(c) > 0, F.col(c)).otherwise(none), names[a], subs.get(a, {}), best, rest).alias(c) for c, a, best, rest in at])
+
+    def strongest_of(c: str) -> Column:
+        """Of each name the strongest item, the first of equals, in order of the names' first places."""
+        x, same = F.col(c), lambda x, y: x["val"] == y["val"]
+        top = F.filter(x, lambda a: ~F.exists(x, lambda b: same(a, b) & ((b["s"] > a["s"]) | ((b["s"] == a["s"]) & (b["i"] < a["i"])))))
+        first = F.filter(x, lambda a: ~F.exists(x, lambda b: same(a, b) & (b["i"] < a["i"])))
+        return F.when(F.size(F.array_distinct(F.transform(x, lambda a: a["val"]))) == F.size(x), x).otherwise(F.transform(first, lambda a: F.element_at(F.filter(top, lambda b: same(a, b)), 1)))
+
+    short = lambda c: F.transform(c, lambda x: F.struct(x["val"].alias("val"), x["subs"].alias("subs")))
+    return v.select(key, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), short(strongest_of(c) if best else F.col(c)).alias("items")) for c, a, best, _ in at])).alias("_a")).select(key, "_a.*")
 
 
 def flattened(labels: DataFrame, key: str = "id") -> DataFrame:
-    """(key, axis, value) of validated labels: names joined by ' + ', and axis_<sub> for sub-attributes; 'unspecified' for none and for words that say nothing."""
+    """(key, axis, value) of validated labels: names joined by ' + ', and axis_<sub> for sub-attributes; 'unspecified' for none and for words that say nothing. One pass over labels."""
     tidy = lambda c: F.when(F.lower(c).isin(*EMPTY), UNSPECIFIED).otherwise(c)
-    own = labels.select(key, "axis", tidy(F.when(F.size("items") == 0, UNSPECIFIED).otherwise(F.array_join(F.transform("items", lambda x: x["val"]), " + "))).alias("value"))
-    keys = F.array_distinct(F.flatten(F.transform("items", lambda x: F.map_keys(x["subs"]))))
-    more = labels.select(key, "axis", F.explode(keys).alias("sub"), "items")
-    more = more.select(key, F.concat_ws("_", "axis", "sub").alias("axis"), F.array_join(F.filter(F.transform("items", lambda x: F.element_at(x["subs"], F.col("sub"))), lambda x: x.isNotNull()), " + ").alias("value"))
-    return own.unionByName(more)
+    pair = lambda axis, value: F.struct(axis.alias("axis"), value.alias("value"))
+    own = pair(F.col("axis"), tidy(F.when(F.size("items") == 0, UNSPECIFIED).otherwise(F.array_join(F.transform("items", lambda x: x["val"]), " + "))))
+    keys = F.coalesce(F.array_distinct(F.flatten(F.transform("items", lambda x: F.map_keys(x["subs"])))), F.array().cast("array<string>"))
+    more = F.transform(keys, lambda sub: pair(F.concat_ws("_", F.col("axis"), sub), F.array_join(F.filter(F.transform("items", lambda x: F.element_at(x["subs"], sub)), lambda x: x.isNotNull()), " + ")))
+    return labels.select(key, F.explode(F.concat(F.array(own), more)).alias("_a")).select(key, "_a.*")
 
 
 def reach(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
