@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verdure.llm import common, packing, token_output
+from verdure.llm import common, packing, token_output, tokens
 from verdure.llm.tokens import WordTokenizer, public_path
 
 ODD = ["", " ", "a  b", "a \n b", "\n\n x  ", "it's a <|endoftext|> b", "é́ Σ ΑΣ", "x\t y", "12 345  ", "foo\n\nbar   baz", "a\x1cb c", "a  b  c", " lead", "trail ", "\x00 \x00x", "a<|endoftext|>b <|startoftext|> c", "don't WE'LL x's 12a3½ ²", "e\u0301 \u0301x ﬁ ǅ İi ẞ", "\xa0a \u2003b\u3000c", "日本 語x。", "-- ... a--b !?x", "\x7f\x01a b\x1f"]
@@ -27,6 +28,41 @@ def test_words_encode_as_whole_texts(name, rows):
     assert len(tok.encode([])[0]) == 0
 
 
+def test_a_piece_is_merged_once_and_known_words_are_kept(monkeypatch):
+    tok, ref, merged = WordTokenizer(public_path("word_bpe_49k.json")), whole("word_bpe_49k.json"), []
+
+    class Counted:
+        def tokenize(self, piece, merge=tok.model.tokenize):
+            merged.append(piece)
+            return merge(piece)
+
+    monkeypatch.setattr(tok, "model", Counted())
+    texts = ["Thinrewh thinrewh, THINREWH. (thinrewh) 'thinrewh'", "thinrewh; Écòle école, ÉCÒLE", "thinrewh! E\u0301co\u0300le. H\u0331x"]
+    for t in texts:
+        assert tok.encode([t])[0].tolist() == ref.encode(t, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged)) and merged.count("thinrewh") == 1
+
+
+def test_memos_start_afresh(monkeypatch, rows):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 10)
+    texts = ODD + [t or "" for _, t in rows]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok, ref = WordTokenizer(public_path(name)), whole(name)
+        for t in texts + texts[::-1]:
+            assert tok.encode([t])[0].tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("normalizer", [None, {"type": "Lowercase"}, {"type": "Prepend", "prepend": "x"}])
+def test_other_tokenizer_files_are_encoded_whole(tmp_path, normalizer):
+    spec = json.load(open(public_path("word_bpe_49k.json"), encoding="utf-8"))
+    path = str(tmp_path / "t.json")
+    json.dump(spec | {"normalizer": normalizer}, open(path, "w", encoding="utf-8"))
+    tok, ref = WordTokenizer(path), Tokenizer.from_file(path)
+    ids, n = tok.encode(ODD)
+    want = [ref.encode(t, add_special_tokens=False).ids for t in ODD]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [0, 1, 2, 3], [3, 70, 70, 1000, 10**12], [-(2**62), 0, 2**62], list(np.cumsum(np.arange(2000) % 37)), [0] * 300 + [10**9] * 700 + list(range(2 * 10**9, 2 * 10**9 + 700))])
 def test_elias_fano(values):
     v = np.array(values, np.int64)
