@@ -52,6 +52,16 @@ def test_memos_start_afresh(monkeypatch, rows):
             assert tok.encode([t])[0].tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_character_between_letters(name):
+    """White space of the tokenizer's file, of Arrow and of Python, characters that normalise to others or that only one side's tables have, marks at a word's start."""
+    texts = [f"A{chr(c)}b {chr(c)}c{chr(c)}" for c in [*range(0x3400), *range(0xF900, 0x10000), *range(0x10400, 0x10500), *range(0x1D100, 0x1D200), *range(0x1E900, 0x1E950)]]
+    ids, n = WordTokenizer(public_path(name)).encode(texts)
+    at = np.concatenate([[0], np.cumsum(n)])
+    for k, x in enumerate(whole(name).encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == x.ids, repr(texts[k])
+
+
 @pytest.mark.parametrize("normalizer", [None, {"type": "Lowercase"}, {"type": "Prepend", "prepend": "x"}])
 def test_other_tokenizer_files_are_encoded_whole(tmp_path, normalizer):
     spec = json.load(open(public_path("word_bpe_49k.json"), encoding="utf-8"))
