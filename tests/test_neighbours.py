@@ -75,3 +75,27 @@ def test_recall_asks_for_each_hundredth(spark):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").count()
     rows = plans.QUERIES["knn_index_recall"](spark, sf).collect()
     assert n and {r.n for r in rows} == {n} and {r["rank"] for r in rows} == {1, 2, 3, 4, 5} and rows[0].recall >= 0.9
+
+
+@pytest.mark.parametrize("shift, scale", [(0, 1), (1e5, 1), (0, 1e25)])
+def test_near_loses_none(monkeypatch, shift, scale):
+    """Ruled out in single precision, by parts: the same as all distances in double precision, with crowds of equal vectors, far from 0 and beyond what single precision holds; what has no distance is left out."""
+    monkeypatch.setattr(neighbours, "ROWS", 32)
+    monkeypatch.setattr(neighbours, "COLUMNS", 64)
+    rng = np.random.default_rng(2)
+    x, y = (rng.normal(size=(n, 7)) * scale + shift for n in (90, 300))
+    y[50:200], x[4] = y[3], y[3]
+    y[9] = np.nan
+    got = list(zip(*(c.tolist() for c in neighbours._near(x, y, 5)), strict=True))
+    want = [(q, b, d) for q, r in plain(np.concatenate([x, y]), range(90), [i for i in range(90, 390) if i != 99], 5).items() for d, b in r]
+    assert [(i, j + 90) for i, j, _ in got] == [(q, b) for q, b, _ in want] and np.allclose([d for *_, d in got], [d for *_, d in want], rtol=1e-12, atol=0)
+
+
+def test_vectors_are_sent_to_few_blocks(spark, points, monkeypatch):
+    """However many blocks of BLOCK there would be, a vector is sent no more often than for WIDE or about the root of the shuffle partitions."""
+    monkeypatch.setattr(neighbours, "BLOCK", 5)
+    sent = []
+    real = neighbours._merged
+    monkeypatch.setattr(neighbours, "_merged", lambda q, b, *a: sent.append(q.count() + b.count()) or real(q, b, *a))
+    exact = neighbours.nearest(points[2], points[2], 3)
+    assert sent == [2 * 300 * 3] and exact.count() == 900

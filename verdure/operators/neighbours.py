@@ -7,15 +7,20 @@ out of a block or a part of a cell is the k nearest of it, and these are merged
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.storage import cut
 
-#: Vectors in a block, or in a part of a cell, at most about.
+#: Vectors in a part of a cell, at most about, and in a block as long as there are few blocks.
 BLOCK = 4096
+#: Vectors in a block at most about, and of these the queries and the others that are compared at once.
+WIDE, ROWS, COLUMNS = 1 << 16, 512, 1 << 12
 #: Vectors drawn for the centres.
 SAMPLE = 20_000
 
@@ -25,27 +30,56 @@ def _matrix(t: pa.Table, column: str = "values") -> np.ndarray:
     return flat.reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0))
 
 
+def _near(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k nearest rows of y of each row of x, the first of equally near ones.
+
+    Products in single precision rule out what is farther than the k nearest by more than their rounding; the others' distances are worked out from differences in double precision.
+    """
+    with np.errstate(invalid="ignore", over="ignore"):
+        fine = np.isfinite(y).all(axis=1)
+        middle = y[fine].mean(axis=0) if fine.any() else np.zeros(y.shape[1])
+        own, size = (((z - middle) ** 2).sum(axis=1) for z in (x, y))
+        scale = math.sqrt(max(own[np.isfinite(own)].max(initial=0), size[fine].max(initial=0))) or 1.0
+        a, b = (((z - middle) / scale).astype(np.float32) for z in (x, y))
+        own, size = own / scale**2, size / scale**2
+        slack = (y.shape[1] + 8) * 2.0**-23 * (own + size[fine].max(initial=0)) + 1e-30
+        flat, out = size.astype(np.float32), [(np.empty(0, np.intp), np.empty(0, np.intp), np.empty(0))]
+        for at in range(0, len(x), ROWS):
+            part = slice(at, at + ROWS)
+            limit, best = None, out[0]
+            for lo in range(0, len(y), COLUMNS):
+                d = a[part] @ b[lo : lo + COLUMNS].T
+                d *= -2
+                d += flat[lo : lo + COLUMNS]
+                if limit is None:
+                    limit = np.full(len(d), np.inf) if d.shape[1] < k else np.partition(d, k - 1, axis=1)[:, k - 1] + 2.0 * slack[part]
+                    limit[np.isnan(limit)] = np.inf
+                i, j = np.divmod(np.flatnonzero(d <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None]), d.shape[1])
+                if not len(i):
+                    continue
+                exact = np.concatenate([np.sqrt(((x[at + i[s : s + ROWS * 64]] - y[lo + j[s : s + ROWS * 64]]) ** 2).sum(axis=1)) for s in range(0, len(i), ROWS * 64)])
+                i, j, exact = (np.concatenate(c) for c in zip(best, (i, lo + j, exact), strict=True))
+                order = np.lexsort((j, exact, i))
+                i = i[order]
+                first = np.searchsorted(i, np.arange(len(d) + 1))
+                keep = np.arange(len(i)) - first[i] < k
+                best = i[keep], j[order][keep], exact[order][keep]
+                full = np.flatnonzero(np.diff(first) >= k)
+                limit[full] = np.minimum(limit[full], (exact[order][first[full] + k - 1] / scale) ** 2 - own[part][full] + slack[part][full])
+            out.append((at + best[0], *best[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _merged(queries: DataFrame, base: DataFrame, k: int, key: str) -> DataFrame:
     """(key, other, distance, rank): the k nearest of what meets in the same (_c, _p), by distance and then by id."""
     kind = dict(queries.dtypes)[key]
 
     def near(q: pa.Table, b: pa.Table) -> pa.Table:
-        ids, rows = b.column("other").to_pylist(), []
         if q.num_rows and b.num_rows:
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            ids, x, y = [ids[i] for i in order], _matrix(q), _matrix(b, "vector")[order]
-            size = (y**2).sum(1)
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                own = (part**2).sum(1)[:, None]
-                d = own - 2 * part @ y.T + size
-                limit = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1 : min(k, len(y))] + 1e-9 * (own + size.max())
-                for i, name in enumerate(q.column(key).slice(at, len(part)).to_pylist()):
-                    some = np.flatnonzero(d[i] <= limit[i])  # the k nearest, and equal ones
-                    exact = np.sqrt(((part[i] - y[some]) ** 2).sum(1))
-                    rows += [(name, ids[some[j]], float(exact[j])) for j in np.argsort(exact, kind="stable")[:k].tolist()]
-        a, b_, d_ = list(zip(*rows, strict=True)) or ([], [], [])
-        return pa.Table.from_arrays([pa.array(a, q.schema.field(key).type), pa.array(b_, q.schema.field(key).type), pa.array(d_, pa.float64())], names=[key, "other", "distance"])
+            b = b.take(pc.sort_indices(b.column("other")))
+            i, j, d = _near(*(_matrix(z, c).astype(np.float64, copy=False) for z, c in ((q, "values"), (b, "vector"))), k)
+            return pa.table({key: q.column(key).take(pa.array(i)), "other": b.column("other").take(pa.array(j)), "distance": d})
+        return pa.table({key: q.column(key).slice(0, 0), "other": b.column("other").slice(0, 0), "distance": pa.array([], pa.float64())})
 
     base = base.select(F.col(key).alias("other"), F.col("values").alias("vector"), F.col("_c").alias("_bc"), F.col("_p").alias("_bp"))
     found = queries.groupBy("_c", "_p").cogroup(base.groupBy("_bc", "_bp")).applyInArrow(near, f"{key} {kind}, other {kind}, distance double")
@@ -55,7 +89,8 @@ def _merged(queries: DataFrame, base: DataFrame, k: int, key: str) -> DataFrame:
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "sample_id") -> DataFrame:
     """(key, other, distance, rank) of each query's k nearest in base, all of it: blocks of queries against blocks of base."""
-    n, m = (max(1, -(-d.count() // BLOCK)) for d in (queries, base))
+    few = math.isqrt(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1  # a vector is sent once for each block of the other side
+    n, m = (max(1, -(-size // WIDE), min(-(-size // BLOCK), few)) for size in (queries.count(), base.count()))
     part = lambda d, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
     q = queries.select(key, "values", part(queries, n).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_p"))
     b = base.select(key, "values", part(base, m).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_c"))
