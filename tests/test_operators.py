@@ -245,3 +245,24 @@ def test_a_repeated_key_is_filled_with_the_least_value(spark):
     look = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", None)], "k string, v string")
     got = {tuple(r) for r in tables.backfill(spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), look, "k", "v", "none").collect()}
     assert got == {("a", "x"), ("b", "none"), ("c", "none")}
+
+
+def test_vector_pairs_from_large_blocks(spark, monkeypatch):
+    """Rows of pairs go out a strip at a time: blocks don't become more with the rows up to WIDE, so a vector is sent to no more of them; each pair is there once, with string keys too."""
+    import numpy as np
+
+    from verdure.operators import distance, pair_folds
+
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(pair_folds, "STRIP", 64)
+    blocks = []
+    real = pair_folds.folded
+    monkeypatch.setattr(pair_folds, "folded", lambda *a, **k: blocks.append(a[6]) or real(*a, **k))
+    x = np.random.default_rng(6).normal(size=(100, 4))
+    v = spark.createDataFrame([(f"s{i:03}", x[i].tolist()) for i in range(100)], "sample_id string, values array<double>")
+    for kind, want in (("distance", np.sqrt(((x[:, None] - x) ** 2).sum(2))), ("dot", x @ x.T)):
+        got = {(r.a, r.b): r.value for r in distance.vector_pairs(v, kind).collect()}
+        assert len(got) == 4950 and all(abs(got[f"s{i:03}", f"s{j:03}"] - want[i, j]) < 1e-12 for i in range(100) for j in range(i + 1, 100))
+        some = {(r.a, r.b) for r in distance.vector_pairs(v, kind, least=1.5).collect()}
+        assert some == {k for k, d in got.items() if abs(d) >= 1.5}
+    assert blocks == [distance.WIDE] * 4
